@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.coerce import NON_WS
 from ..functions.tokens import FALLBACK_PATTERN, remove_stopwords, segment
+from ..session import materialize
+from .rows import unfold
 
 HAN_RUNS = r"\p{IsHan}+"
 
@@ -54,13 +56,12 @@ def learn_dictionary(
     over all splits) and its neighbours vary (entropy on both sides). Equal runs are counted
     before they are cut into grams.
     """
-    distinct_runs = (
-        docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(runs), F.lit(0))).alias("run"))
-        .groupBy("run")
-        .agg(F.count("*").alias("n"))
+    found = unfold(docs, [], F.regexp_extract_all(F.col(text), F.lit(runs), F.lit(0)), "run")
+    distinct_runs = found.groupBy("run").agg(F.count("*").alias("n"))
+    grams = unfold(distinct_runs, ["n"], _grams(F.col("run"), max_length), "g").select("n", "g.*")
+    seen = materialize(
+        grams.groupBy("gram", "left", "right").agg(F.sum("n").alias("n")), "grams"
     )
-    grams = distinct_runs.select("n", F.inline(_grams(F.col("run"), max_length)))
-    seen = grams.groupBy("gram", "left", "right").agg(F.sum("n").alias("n"))
     counts = seen.groupBy("gram").agg(F.sum("n").alias("n"))
     total = counts.filter(F.char_length("gram") == 1).agg(F.sum("n")).scalar()
 
@@ -113,10 +114,9 @@ def tokenize_with_dictionary(
     if longest == 0:
         found = docs.select(*key).limit(0).withColumn("_terms", F.array().cast("array<string>"))
     else:
-        parts = docs.select(
-            *key,
-            F.explode(F.regexp_extract_all(F.col(text), F.lit(rf"(?U){NON_WS}+"), F.lit(0))).alias("_run"),
-        ).select(*key, F.explode(F.array_distinct(_substrings(F.col("_run"), longest))).alias("term"))
+        chunks = F.regexp_extract_all(F.col(text), F.lit(rf"(?U){NON_WS}+"), F.lit(0))
+        runs = unfold(docs, key, F.array_distinct(chunks), "_run")
+        parts = unfold(runs, key, F.array_distinct(_substrings(F.col("_run"), longest)), "term")
         found = (
             parts.join(dictionary.select("term").distinct(), "term", "left_semi")
             .groupBy(*key)

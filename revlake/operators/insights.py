@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import PRODUCT
 from .ranking import top_n_per_group
+from .rows import unfold
 
 LISTS = ("strengths", "complaints", "top_positive_terms", "top_negative_terms")
 
@@ -16,9 +17,8 @@ def pole_counts(
     analyzed: DataFrame, by: Sequence[str] = PRODUCT, keywords: str = "keywords"
 ) -> DataFrame:
     """``(by..., term, pos, neg)``: both poles in one aggregation, neutral reviews left out."""
-    rows = analyzed.filter(F.col("sentiment_label").isin("positive", "negative")).select(
-        *by, "sentiment_label", F.explode(keywords).alias("term")
-    )
+    polar = analyzed.filter(F.col("sentiment_label").isin("positive", "negative"))
+    rows = unfold(polar, [*by, "sentiment_label"], keywords, "term")
     return rows.groupBy(*by, "term").agg(
         F.count_if(F.col("sentiment_label") == "positive").alias("pos"),
         F.count_if(F.col("sentiment_label") == "negative").alias("neg"),
@@ -50,9 +50,7 @@ def top_terms(
     keywords: str = "keywords",
 ) -> DataFrame:
     """Most frequent keywords of one pole."""
-    rows = analyzed.filter(F.col("sentiment_label") == pole).select(
-        *by, F.explode(keywords).alias("term")
-    )
+    rows = unfold(analyzed.filter(F.col("sentiment_label") == pole), by, keywords, "term")
     counts = rows.groupBy(*by, "term").agg(F.count("*").alias("n"))
     best = top_n_per_group(counts, by, [F.desc("n"), F.asc("term")], top_n)
     return best.select(*by, "rank", "term", "n")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # At most this many keys can each hold more than 1/HEAVY_KEYS of the rows.
 HEAVY_KEYS = 10_000
+# A table of short keys up to this many rows is counted and then broadcast whole.
+BROADCAST_ROWS = 500_000
 
 
 def fresh_reviews(fetched: DataFrame, stored: DataFrame, incremental: bool = True) -> DataFrame:
@@ -23,10 +25,13 @@ def split_heavy_join(
 ) -> DataFrame:
     """Inner join of ``rows`` with a table of unique keys that counts the rows per key.
 
-    ``weight`` is the number of ``rows`` a key has. Keys above 1/HEAVY_KEYS of all rows are
-    at most HEAVY_KEYS by arithmetic, so they are broadcast; what remains has no heavy key
-    and is joined by shuffle.
+    ``dim`` is a stored table, so it can be counted: a small one is broadcast. Beyond that,
+    ``weight`` tells how many ``rows`` a key has. Keys above 1/HEAVY_KEYS of all rows are at
+    most HEAVY_KEYS by arithmetic, so they are broadcast; what remains has no heavy key and
+    is joined by shuffle.
     """
+    if dim.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(dim), list(on))
     floor = dim.agg((F.sum(weight) / HEAVY_KEYS).alias("f")).scalar()
     heavy = dim.filter(F.col(weight) > floor)
     light = dim.filter(F.col(weight) <= floor)

@@ -9,8 +9,10 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tokens import Tokenizer, let, term_counts, term_positions, tokenize
+from ..session import materialize
 from .joins import split_heavy_join
 from .ranking import top_n_per_group
+from .rows import unfold
 
 # Window, damping and rounds of TextRank; frequency bounds of the vocabulary.
 SPAN = 5
@@ -87,7 +89,9 @@ def textrank(
             )
 
         def iterate(edges: Column) -> Column:
-            start = F.transform(edges, lambda e: F.lit(1.0) / F.size(edges))
+            linked = F.size(F.filter(edges, lambda e: F.size(e) > 0))
+            first = F.lit(1.0) / F.nullif(linked, F.lit(0))
+            start = F.array_repeat(first, F.size(edges))
 
             def one_round(ws: Column, _: Column) -> Column:
                 rates = F.transform(edges, lambda e, k: F.get(ws, k) / F.nullif(F.size(e), F.lit(0)))
@@ -101,7 +105,7 @@ def textrank(
                     ),
                 )
 
-            final = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
+            final = F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), start, one_round)
             # negated score first, so that the natural order is score desc, term asc
             return let(
                 final,
@@ -140,8 +144,8 @@ def textrank_keywords(
 ) -> DataFrame:
     """TextRank keywords as rows ``(key..., rank, term, score)``."""
     best = textrank(tokenizer(F.col(text)), top_n=top_n, stopwords=stopwords)
-    ranked = docs.select(*key, F.posexplode(best).alias("_at", "_kw"))
-    return ranked.select(
+    ranked = docs.select(*key, F.posexplode_outer(best).alias("_at", "_kw"))
+    return ranked.filter(F.col("_at").isNotNull()).select(
         *key, (F.col("_at") + 1).alias("rank"), F.col("_kw.term").alias("term"),
         F.col("_kw.score").alias("score"),
     )
@@ -151,7 +155,7 @@ def document_terms(
     docs: DataFrame, key: Sequence[str], by: Sequence[str] = (), tokens: str = "tokens"
 ) -> DataFrame:
     """``(by..., key..., term, tf)``; counted inside the row, so nothing is shuffled."""
-    rows = docs.select(*by, *key, F.explode(term_counts(F.col(tokens))).alias("_t"))
+    rows = unfold(docs, [*by, *key], term_counts(F.col(tokens)), "_t")
     return rows.select(
         *by, *key, F.col("_t.term").alias("term"), F.col("_t.n").cast("long").alias("tf")
     )
@@ -189,14 +193,13 @@ def tfidf_keywords(
     idf = ln((1 + N) / (1 + df)) + 1 with raw counts as tf. Scores are rounded to six digits
     before ranking, ties by term.
     """
-    vocabulary = doc_frequency(docs, key, by, tokens=tokens).withColumn(
-        "idf", F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+    idf = F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+    vocabulary = materialize(
+        doc_frequency(docs, key, by, tokens=tokens).select(*by, "term", "df", idf.alias("idf")),
+        "vocabulary",
     )
     weighted = split_heavy_join(
-        document_terms(docs, key, by, tokens),
-        vocabulary.select(*by, "term", "df", "idf"),
-        [*by, "term"],
-        "df",
+        document_terms(docs, key, by, tokens), vocabulary, [*by, "term"], "df"
     ).withColumn("w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy(*by, *key)
     unit = weighted.withColumn(
@@ -225,7 +228,7 @@ def lda_topics(
     schema = "topic int, rank int, term string, weight double"
     n_docs = docs.count()
     k = min(n_topics, n_docs) or 1
-    terms = docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    terms = unfold(docs, [], F.array_distinct(tokens), "term")
     bounds = terms.groupBy("term").agg(F.count("*").alias("df"))
     kept = bounds.filter((F.col("df") >= MIN_DF) & (F.col("df") <= MAX_DF * n_docs))
     size = kept.count()
@@ -234,7 +237,7 @@ def lda_topics(
     if size > max_vocabulary:
         raise ValueError(f"{size} terms exceed max_vocabulary={max_vocabulary}; raise it or prune")
     if k == 1:
-        weights = docs.select(F.explode(tokens).alias("term")).join(kept, "term")
+        weights = unfold(docs, [], tokens, "term").join(kept, "term")
         counts = weights.groupBy("term").agg(F.count("*").alias("n"))
         total = counts.agg(F.sum("n")).scalar()
         ranked = top_n_per_group(

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import KEY, PRODUCT
+from .rows import unfold
 
 
 def filter_reviews(
@@ -60,11 +61,7 @@ def headline_metrics(analyzed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def token_frequencies(
     analyzed: DataFrame, top_n: int | None = None, tokens: str = "tokens"
 ) -> DataFrame:
-    counts = (
-        analyzed.select(F.explode(tokens).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = unfold(analyzed, [], tokens, "term").groupBy("term").agg(F.count("*").alias("n"))
     if top_n is None:
         return counts
     return counts.orderBy(F.desc("n"), F.asc("term")).limit(top_n)

@@ -94,15 +94,18 @@ def batch_order() -> list[Column]:
     return [F.desc(c) for c in ("fetched_at", "page", "seq", "product_id")] + [F.desc(F.xxhash64("raw"))]
 
 
-def ingest_pages(
-    opened: DataFrame, tables: ReviewTables, *, incremental: bool = True,
+def parse_landed(pages: DataFrame) -> DataFrame:
+    """Every page parsed once and stored; empty pages stay as rows without a ``seq``."""
+    return materialize(parse_reviews(open_pages(pages), keep_empty=True), "parsed")
+
+
+def ingest_parsed(
+    parsed: DataFrame, tables: ReviewTables, *, incremental: bool = True,
     max_pages: int | None = MAX_PAGES, index: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Store the new reviews of opened pages; returns the fetched and the fresh rows."""
-    fetched = materialize(parse_reviews(contiguous_pages(opened, max_pages, index)), "fetched")
+    """Store the new reviews of parsed pages; returns the fetched and the fresh rows."""
+    fetched = contiguous_pages(parsed, max_pages, index).filter(F.col("seq").isNotNull())
     fresh = fresh_reviews(fetched, tables.read("raw_reviews"), incremental)
-    if incremental:
-        fresh = materialize(fresh, "fresh")  # stays the same after the upsert below
     tables.upsert("raw_reviews", fresh, batch_order())
     return fetched, fresh
 
@@ -120,8 +123,8 @@ def ingest(
         pages = pages.filter(F.col("platform") == platform)
     if product_id:
         pages = pages.filter(F.col("product_id") == product_id)
-    return ingest_pages(
-        open_pages(pages), tables, incremental=incremental, max_pages=max_pages
+    return ingest_parsed(
+        parse_landed(pages), tables, incremental=incremental, max_pages=max_pages
     )
 
 
@@ -160,7 +163,7 @@ def run_reviews(
 
 def load_landing(
     spark: SparkSession, landing_dir: str, root: str, products: Sequence[tuple[str, str]] = (),
-    max_pages: int = 2,
+    max_pages: int | None = 2, options: TextOptions = TextOptions(),
 ) -> DataFrame:
     """Everything that has landed (or some products) through all layers in one job."""
     tables = ReviewTables(spark, root, buckets=Settings.from_session(spark).buckets)
@@ -169,5 +172,5 @@ def load_landing(
     if products:
         wanted = spark.createDataFrame(list(products), "platform string, product_id string")
         pages = pages.join(wanted, ["platform", "product_id"], "left_semi")
-    ingest_pages(open_pages(pages), tables, max_pages=max_pages)
-    return refine(tables)
+    ingest_parsed(parse_landed(pages), tables, max_pages=max_pages)
+    return refine(tables, options=options)

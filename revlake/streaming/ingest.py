@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.reviews import TextOptions, ingest_pages, refine
+from ..plans.reviews import TextOptions, ingest_parsed, parse_landed, refine
 from ..schemas import TABLES
-from ..session import materialize
 from ..sources.landing import stream_payload_pages
-from ..sources.payloads import MAX_PAGES, open_pages
+from ..sources.payloads import MAX_PAGES
 from ..sources.tables import ReviewTables
 
 # Sizes of all pages seen so far. The pages of one product may land in different batches, so
@@ -52,15 +51,16 @@ def ingest_stream(
     tables.init_tables()
 
     def one_batch(pages: DataFrame, _batch_id: int) -> None:
-        opened = materialize(open_pages(pages), "pages")
-        known = opened.filter(F.col("error").isNull()).select(
+        parsed = parse_landed(pages)
+        # empty pages are rows too, so every readable page is in here
+        known = parsed.filter(F.col("n_items").isNotNull()).select(
             "platform",
             F.concat_ws("/", "product_id", "page").alias("review_id"),
             "product_id", "page", "n_items", "fetched_at",
         )
         tables.upsert("page_index", known)
-        ingest_pages(
-            opened, tables, incremental=incremental, max_pages=max_pages,
+        ingest_parsed(
+            parsed, tables, incremental=incremental, max_pages=max_pages,
             index=tables.read("page_index"),
         )
         if analyze:

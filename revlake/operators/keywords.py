@@ -21,6 +21,8 @@ ROUNDS = 10
 MIN_DF = 1
 MAX_DF = 0.95
 LDA_SEED = 42
+# Scores are compared in millionths: plain arithmetic, where round() would go through decimals.
+SCORE_UNIT = 1_000_000
 
 
 def textrank(
@@ -35,102 +37,108 @@ def textrank(
     so the order does not depend on the order of floating-point additions.
     """
     words = sorted(set(stopwords))
+    no_word = F.lit(-1)
 
     def is_candidate(t: Column) -> Column:
         long_enough = F.char_length(t) >= min_length
         return long_enough & ~t.isin(words) if words else long_enough
 
-    placed = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("p"))),
-        lambda x: is_candidate(x["t"]),
-    )
+    def number_words(nodes: Column) -> Column:
+        """Word number at every token position, -1 where the token is no candidate."""
+        spots = F.transform(
+            nodes,
+            lambda n, k: let(
+                F.when(is_candidate(n["term"]), k).otherwise(no_word),
+                lambda number: F.transform(
+                    n["at"], lambda i: F.struct(i.alias("i"), number.alias("k"))
+                ),
+            ),
+        )
+        return F.transform(F.sort_array(F.flatten(spots)), lambda x: x["k"])
 
-    def rank(cands: Column) -> Column:
-        groups = term_positions(F.transform(cands, lambda x: x["t"]))
-        return let(groups, lambda nodes: ranked(cands, nodes))
+    def adjacency(nodes: Column, numbers: Column) -> Column:
+        """Per word the candidates around each of its occurrences, itself included.
 
-    def ranked(cands: Column, nodes: Column) -> Column:
-        # term number of every candidate, in text order
-        owner = F.transform(
-            F.sort_array(
-                F.flatten(
-                    F.transform(
-                        nodes,
-                        lambda n, k: F.transform(
-                            n["at"], lambda i: F.struct(i.alias("i"), k.alias("k"))
+        Repeated entries are edge weights. The padding lets one fixed-size slice serve every
+        position; the occurrence itself is taken out again in ``iterate``.
+        """
+        padded = F.concat(F.array_repeat(no_word, SPAN - 1), numbers)
+
+        def around(pad: Column) -> Column:
+            return F.transform(
+                nodes,
+                lambda n: F.when(
+                    is_candidate(n["term"]),
+                    F.array_remove(
+                        F.flatten(
+                            F.transform(n["at"], lambda i: F.slice(pad, i + 1, 2 * SPAN - 1))
                         ),
-                    )
-                )
-            ),
-            lambda x: x["k"],
-        )
-        return let(owner, lambda own: scored(cands, nodes, own))
-
-    def scored(cands: Column, nodes: Column, own: Column) -> Column:
-        # candidates close enough on either side of candidate i, as term numbers
-        def near(i: Column, here: Column) -> Column:
-            return F.filter(
-                F.transform(
-                    F.array(*[F.lit(d) for d in range(-SPAN + 1, SPAN) if d]),
-                    lambda d: F.when(
-                        F.abs(F.get(cands, i + d)["p"] - here) < SPAN, F.get(own, i + d)
+                        no_word,
                     ),
                 ),
-                lambda k: k.isNotNull(),
             )
 
-        around = F.transform(cands, lambda x, i: near(i, x["p"]))
+        return let(padded, around)
 
-        def adjacency(by_position: Column) -> Column:
-            # one entry per edge occurrence; repeated entries are the edge weight
-            return F.transform(
-                nodes,
-                lambda n: F.flatten(F.transform(n["at"], lambda i: F.get(by_position, i))),
-            )
+    def iterate(nodes: Column, edges: Column) -> Column:
+        # edge occurrences of a word, without its own occurrences; 0 also for other tokens
+        degrees = F.zip_with(
+            edges, nodes, lambda e, n: F.coalesce(F.size(e) - F.size(n["at"]), F.lit(0))
+        )
+        return let(degrees, lambda degree: ranked(nodes, edges, degree))
 
-        def iterate(edges: Column) -> Column:
-            linked = F.size(F.filter(edges, lambda e: F.size(e) > 0))
-            first = F.lit(1.0) / F.nullif(linked, F.lit(0))
-            start = F.array_repeat(first, F.size(edges))
+    def ranked(nodes: Column, edges: Column, degree: Column) -> Column:
+        linked = F.size(F.array_remove(degree, F.lit(0)))
+        start = F.array_repeat(F.lit(1.0) / F.nullif(linked, F.lit(0)), F.size(degree))
+        shares = F.transform(degree, lambda d: F.lit(1.0) / F.nullif(d, F.lit(0)))
 
+        def rounds(share: Column) -> Column:
             def one_round(ws: Column, _: Column) -> Column:
-                rates = F.transform(edges, lambda e, k: F.get(ws, k) / F.nullif(F.size(e), F.lit(0)))
                 return let(
-                    rates,
-                    lambda r: F.transform(
+                    F.zip_with(ws, share, lambda w, s: w * s),
+                    lambda given: F.transform(
                         edges,
-                        lambda e: F.lit(1 - DAMPING)
-                        + F.lit(DAMPING)
-                        * F.aggregate(e, F.lit(0.0), lambda acc, k: acc + F.get(r, k)),
+                        lambda e, k: (
+                            F.aggregate(e, F.lit(0.0), lambda acc, j: acc + F.get(given, j))
+                            - F.size(F.get(nodes, k)["at"]) * F.get(given, k)
+                        )
+                        * DAMPING
+                        + (1 - DAMPING),
                     ),
                 )
 
-            final = F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), start, one_round)
-            # negated score first, so that the natural order is score desc, term asc
-            return let(
-                final,
-                lambda ws: F.sort_array(
-                    F.filter(
-                        F.transform(
-                            nodes,
-                            lambda n, k: F.struct(
-                                (-F.round(F.get(ws, k), 6)).alias("neg"),
-                                n["term"].alias("term"),
-                                F.size(F.get(edges, k)).alias("degree"),
+            return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), start, one_round)
+
+        # negated score first, so that the natural order is score desc, term asc
+        best = let(
+            let(shares, rounds),
+            lambda ws: F.sort_array(
+                F.filter(
+                    F.transform(
+                        nodes,
+                        lambda n, k: F.when(
+                            F.get(degree, k) > 0,
+                            F.struct(
+                                (-F.floor(F.get(ws, k) * SCORE_UNIT + 0.5)).alias("neg"), n["term"].alias("term")
                             ),
                         ),
-                        lambda x: x["degree"] > 0,
-                    )
-                ),
-            )
-
-        best = let(around, lambda a: let(adjacency(a), iterate))
+                    ),
+                    lambda x: x.isNotNull(),
+                )
+            ),
+        )
         return F.transform(
             F.slice(best, 1, top_n),
-            lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("score")),
+            lambda x: F.struct(x["term"].alias("term"), (-x["neg"] / SCORE_UNIT).alias("score")),
         )
 
-    return let(placed, rank)
+    return let(
+        term_positions(tokens),
+        lambda nodes: let(
+            number_words(nodes),
+            lambda numbers: let(adjacency(nodes, numbers), lambda edges: iterate(nodes, edges)),
+        ),
+    )
 
 
 def textrank_keywords(

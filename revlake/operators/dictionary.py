@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.coerce import NON_WS
 from ..functions.tokens import FALLBACK_PATTERN, remove_stopwords, segment
 from ..session import materialize
 from .rows import unfold
@@ -106,27 +105,26 @@ def tokenize_with_dictionary(
 ) -> DataFrame:
     """``docs`` plus ``tokens`` by longest match over a dictionary table of any size.
 
-    The substrings of each text are matched with the table by a join; the terms found in a
-    text form that row's own pattern, so the result equals the inline form. ``key`` must be
-    unique.
+    Terms are looked up by their first two characters, so a text contributes one row per
+    distinct character pair, however long it is. The terms found in a text form that row's
+    own pattern, so the result equals the inline form. ``key`` must be unique.
     """
-    longest = dictionary.agg(F.max(F.char_length("term"))).first()[0] or 0
-    if longest == 0:
-        found = docs.select(*key).limit(0).withColumn("_terms", F.array().cast("array<string>"))
-    else:
-        chunks = F.regexp_extract_all(F.col(text), F.lit(rf"(?U){NON_WS}+"), F.lit(0))
-        runs = unfold(docs, key, F.array_distinct(chunks), "_run")
-        parts = unfold(runs, key, F.array_distinct(_substrings(F.col("_run"), longest)), "term")
-        found = (
-            parts.join(dictionary.select("term").distinct(), "term", "left_semi")
-            .groupBy(*key)
-            .agg(F.collect_set("term").alias("_terms"))
-        )
+    heads = F.array_distinct(
+        F.concat(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)) for p in (r"(?s)(.)", r"(?s)(?=(..))")])
+    )
+    words = dictionary.select("term").distinct().filter(F.char_length("term") > 0)
+    found = (
+        unfold(docs, key, heads, "_head")
+        .join(words.withColumn("_head", F.substring("term", 1, 2)), "_head")
+        .groupBy(*key)
+        .agg(F.collect_list("term").alias("_terms"))
+    )
+    present = F.filter("_terms", lambda t: F.contains(F.col(text), t))
     # longest first, then by term, each quoted
     ordered = F.transform(
         F.sort_array(
             F.transform(
-                F.coalesce(F.col("_terms"), F.array().cast("array<string>")),
+                F.coalesce(present, F.array().cast("array<string>")),
                 lambda t: F.struct((-F.char_length(t)).alias("l"), t.alias("t")),
             )
         ),
@@ -140,16 +138,3 @@ def tokenize_with_dictionary(
         .withColumn(tokens, remove_stopwords(segment(F.col(text), pattern), stopwords))
         .drop("_terms")
     )
-
-
-def _substrings(run: Column, longest: int) -> Column:
-    chars = F.split(run, "")
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size(chars) - 1),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.size(chars) - i)),
-                lambda k: F.array_join(F.slice(chars, i + 1, k), ""),
-            ),
-        )
-    )

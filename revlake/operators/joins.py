@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
+
 # At most this many keys can each hold more than 1/HEAVY_KEYS of the rows.
 HEAVY_KEYS = 10_000
 # A table of short keys up to this many rows is counted and then broadcast whole.
@@ -32,6 +34,7 @@ def split_heavy_join(
     """
     if dim.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(dim), list(on))
+    rows = materialize(rows, "rows")  # both parts below read them
     floor = dim.agg((F.sum(weight) / HEAVY_KEYS).alias("f")).scalar()
     heavy = dim.filter(F.col(weight) > floor)
     light = dim.filter(F.col(weight) <= floor)

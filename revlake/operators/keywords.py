@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tokens import Tokenizer, let, term_counts, term_positions, tokenize
@@ -253,13 +253,11 @@ def lda_topics(
             ["topic"], [F.desc("weight"), F.asc("term")], top_n,
         )
         return ranked.select("topic", "rank", "term", "weight")
-    vectors = CountVectorizer(
-        inputCol=tokens, outputCol="features", minDF=MIN_DF, maxDF=MAX_DF, vocabSize=size
-    )
-    model: CountVectorizerModel = vectors.fit(docs)
+    # the estimator keeps the words on the driver in any case; sorted, so that runs agree
+    words = [r.term for r in kept.orderBy(F.desc("df"), "term").select("term").toLocalIterator()]
+    model = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="features")
     lda = LDA(k=k, seed=LDA_SEED, maxIter=max_iter, featuresCol="features", optimizer="online")
     topics = lda.fit(model.transform(docs).select("features")).describeTopics(top_n)
-    words = model.vocabulary
     rows = [  # k * top_n entries
         (t.topic, i + 1, words[at], float(weight))
         for t in topics.collect()

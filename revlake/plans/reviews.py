@@ -137,14 +137,21 @@ def pending_raw(tables: ReviewTables) -> DataFrame:
 def refine(
     tables: ReviewTables, raw: DataFrame | None = None, options: TextOptions = TextOptions()
 ) -> DataFrame:
-    """Process and analyze rows (default: all pending ones) and store both layers."""
+    """Process and analyze raw rows (default: all pending ones) and store both layers.
+
+    The frames read fixed versions of the tables, so the selection stays the same while the
+    layers are written, and each layer is computed once.
+    """
     tables.init_tables()
-    rows = pending_raw(tables) if raw is None else raw
-    processed = materialize(process_reviews(rows, options), "processed")
-    tables.upsert("processed_reviews", processed)
-    analyzed = materialize(analyze_reviews(processed, options), "analyzed")
-    tables.upsert("analyzed_reviews", analyzed)
-    return analyzed
+    stored = raw is None
+    rows = pending_raw(tables) if stored else raw
+    fetch = [*KEY, "fetched_at"]
+    chosen = rows.select(*fetch)
+    tables.upsert("processed_reviews", process_reviews(rows, options), unique=stored)
+    processed = tables.read("processed_reviews").join(chosen, fetch, "left_semi")
+    tables.upsert("analyzed_reviews", analyze_reviews(processed, options), unique=True)
+    done = tables.read("analyzed_reviews").join(chosen, fetch, "left_semi")
+    return done.select(*ANALYZED.names)
 
 
 def run_reviews(

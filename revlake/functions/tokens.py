@@ -15,9 +15,8 @@ _RUN = r"[\p{L}\p{N}&&[^\p{IsHan}]]+"
 _MARK = NON_WS
 FALLBACK_PATTERN = rf"{_HAN}|{_RUN}|{_MARK}"
 
-# Beyond this many terms the alternation gets slow and the join form of
-# operators.dictionary.tokenize_with_dictionary takes over.
-INLINE_TERMS = 2000
+# A pattern of more terms gets slow; operators.dictionary.tokenize_with_dictionary has no limit.
+INLINE_TERMS = 5000
 
 Tokenizer = Callable[[Column], Column]
 
@@ -34,6 +33,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def token_pattern(terms: Iterable[str] = ()) -> str:
     """Longest dictionary term first, then the fallback."""
     ordered = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
+    if len(ordered) > INLINE_TERMS:
+        raise ValueError(f"{len(ordered)} terms: use tokenize_with_dictionary")
     return "|".join([re.escape(t) for t in ordered] + [FALLBACK_PATTERN])
 
 

@@ -19,7 +19,9 @@ def fresh_reviews(fetched: DataFrame, stored: DataFrame, incremental: bool = Tru
     if not incremental:
         return fetched
     key = ["platform", "product_id", "review_id"]
-    return fetched.join(stored.select(*key), key, "left_anti")
+    # a small batch is broadcast against the large table; only the matches are joined back
+    seen = stored.select(*key).join(fetched.select(*key), key, "left_semi")
+    return fetched.join(seen, key, "left_anti").select(*fetched.columns)
 
 
 def split_heavy_join(

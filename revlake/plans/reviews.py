@@ -16,8 +16,9 @@ from ..operators.joins import fresh_reviews
 from ..operators.keywords import textrank
 from ..operators.language import UNKNOWN, LanguageModel, detect_language, script_language
 from ..operators.marts import run_summary
+from ..operators.ranking import latest_by_key
 from ..operators.sentiment_model import Scorer, model_scorer, rule_scorer, select_scorer
-from ..schemas import ANALYZED, KEY, PROCESSED
+from ..schemas import ANALYZED, KEY, PROCESSED, RAW
 from ..session import materialize
 from ..sources.landing import read_payload_pages
 from ..sources.payloads import MAX_PAGES, contiguous_pages, open_pages, parse_reviews, route_platform
@@ -128,6 +129,11 @@ def ingest(
     )
 
 
+def newest_in_batch(fresh: DataFrame) -> DataFrame:
+    """Fresh rows with one row per key, as the raw table keeps them."""
+    return latest_by_key(fresh, KEY, batch_order()).select(*RAW.names)
+
+
 def pending_raw(tables: ReviewTables) -> DataFrame:
     """Raw rows whose current fetch is not analyzed yet, also after a run that broke off."""
     done = tables.read("analyzed_reviews").select(*KEY, "fetched_at")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.reviews import TextOptions, ingest_parsed, parse_landed, refine
+from ..plans.reviews import TextOptions, ingest_parsed, newest_in_batch, parse_landed, refine
 from ..schemas import TABLES
+from ..session import scratch_scope
 from ..sources.landing import stream_payload_pages
 from ..sources.payloads import MAX_PAGES
 from ..sources.tables import ReviewTables
@@ -49,22 +50,28 @@ def ingest_stream(
     empty stay in, as they would after separate runs.
     """
     tables.init_tables()
+    healed = not analyze
 
     def one_batch(pages: DataFrame, _batch_id: int) -> None:
-        parsed = parse_landed(pages)
-        # empty pages are rows too, so every readable page is in here
-        known = parsed.filter(F.col("n_items").isNotNull()).select(
-            "platform",
-            F.concat_ws("/", "product_id", "page").alias("review_id"),
-            "product_id", "page", "n_items", "fetched_at",
-        )
-        tables.upsert("page_index", known)
-        ingest_parsed(
-            parsed, tables, incremental=incremental, max_pages=max_pages,
-            index=tables.read("page_index"),
-        )
-        if analyze:
-            refine(tables, options=options)
+        nonlocal healed
+        with scratch_scope(spark):
+            parsed = parse_landed(pages)
+            # empty pages are rows too, so every readable page is in here
+            known = parsed.filter(F.col("n_items").isNotNull()).select(
+                "platform",
+                F.concat_ws("/", "product_id", "page").alias("review_id"),
+                "product_id", "page", "n_items", "fetched_at",
+            )
+            tables.upsert("page_index", known)
+            _, fresh = ingest_parsed(
+                parsed, tables, incremental=incremental, max_pages=max_pages,
+                index=tables.read("page_index"),
+            )
+            if not healed:  # once per run: whatever an earlier run left unanalyzed
+                refine(tables, options=options)
+                healed = True
+            elif analyze:  # afterwards only the rows of this batch
+                refine(tables, newest_in_batch(fresh), options)
 
     return (
         stream_payload_pages(spark, landing_dir, max_files)

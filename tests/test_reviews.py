@@ -90,6 +90,18 @@ def test_stream_equals_batch_and_repeats_safely(spark, tmp_path, landing):
             assert rows(stream.read(table)) == rows(batch.read(table))
 
 
+def test_stream_in_small_batches(spark, tmp_path, landing):
+    stream = stream_tables(spark, str(tmp_path / "s"), buckets=4)
+    query = ingest_stream(
+        spark, str(landing), stream, str(tmp_path / "c"), analyze=True, max_files=2, max_pages=2
+    )
+    query.awaitTermination()
+    assert query.exception() is None
+    assert stream.read("analyzed_reviews").count() == stream.read("raw_reviews").count() == 5
+    assert stream.compact("page_index", leaves=1) > 0
+    assert stream.read("page_index").count() == 6
+
+
 def test_stream_knows_empty_pages_of_earlier_batches(spark, tmp_path, landing):
     late = tmp_path / "late.txt"
     (landing / jd_name(3)).rename(late)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tokens import FALLBACK_PATTERN, remove_stopwords, segment
-from ..session import materialize
+from ..session import materialize, widen
 from .rows import unfold
 
 HAN_RUNS = r"\p{IsHan}+"
@@ -57,7 +57,7 @@ def learn_dictionary(
     """
     found = unfold(docs, [], F.regexp_extract_all(F.col(text), F.lit(runs), F.lit(0)), "run")
     distinct_runs = found.groupBy("run").agg(F.count("*").alias("n"))
-    grams = unfold(distinct_runs, ["n"], _grams(F.col("run"), max_length), "g").select("n", "g.*")
+    grams = unfold(widen(distinct_runs, "run"), ["n"], _grams(F.col("run"), max_length), "g").select("n", "g.*")
     seen = materialize(
         grams.groupBy("gram", "left", "right").agg(F.sum("n").alias("n")), "grams"
     )

@@ -224,7 +224,7 @@ def lda_topics(
     tokens: str = "tokens",
     n_topics: int = 5,
     top_n: int = 8,
-    max_iter: int = 20,
+    max_iter: int = 10,
     max_vocabulary: int = 2_000_000,
 ) -> DataFrame:
     """``(topic, rank, term, weight)``; at most one topic per document.
@@ -257,7 +257,9 @@ def lda_topics(
     words = [r.term for r in kept.orderBy(F.desc("df"), "term").select("term").toLocalIterator()]
     model = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="features")
     lda = LDA(k=k, seed=LDA_SEED, maxIter=max_iter, featuresCol="features", optimizer="online")
-    topics = lda.fit(model.transform(docs).select("features")).describeTopics(top_n)
+    # stored, because every iteration reads it
+    features = materialize(model.transform(docs).select("features"), "features")
+    topics = lda.fit(features).describeTopics(top_n)
     rows = [  # k * top_n entries
         (t.topic, i + 1, words[at], float(weight))
         for t in topics.collect()

@@ -59,14 +59,16 @@ def rolling_sentiment(
         ).cast("long").alias("_w"),
     )
     inside = Window.partitionBy(*share).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    running = (
+    # stored, because both sides of the join below read it
+    running = materialize(
         placed.withColumn("_run", F.sum("_v").over(inside))
         .join(offsets, share)
         .select(
             *by, row_key, time, "_w",
             (F.col("_n0") + F.col("_pos") - F.col("_first") + 1).alias("rn"),
             (F.col("_s0") + F.col("_run")).cast("decimal(38,18)").alias("_cs"),
-        )
+        ),
+        "running",
     )
     lagged = running.select(
         *by, (F.col("rn") + F.col("_w")).alias("rn"), F.col("_cs").alias("_left")

@@ -44,6 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows that are few in bytes but costly to expand over all shuffle partitions.
+
+    An explicit number keeps adaptive coalescing, which goes by bytes, from undoing it.
+    """
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *keys)
+
+
 _scopes: list[list[str]] = []
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.tokens import FALLBACK_PATTERN, remove_stopwords, segment
+from ..functions.tokens import FALLBACK_PATTERN, let, remove_stopwords, segment
 from ..session import materialize, widen
 from .rows import unfold
 
@@ -15,20 +15,26 @@ HAN_RUNS = r"\p{IsHan}+"
 
 def _grams(run: Column, max_length: int) -> Column:
     """All grams of 1..max_length characters with their left and right neighbour."""
-    chars = F.split(run, "")
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_length), F.size(chars))),
-            lambda k: F.transform(
-                F.sequence(F.lit(0), F.size(chars) - k),
-                lambda i: F.struct(
-                    F.array_join(F.slice(chars, i + 1, k), "").alias("gram"),
-                    F.coalesce(F.get(chars, i - 1), F.lit("")).alias("left"),
-                    F.coalesce(F.get(chars, i + k), F.lit("")).alias("right"),
+
+    def cut(chars: Column) -> Column:
+        def gram(k: Column, i: Column) -> Column:
+            return F.struct(
+                F.array_join(F.slice(chars, i + 1, k), "").alias("gram"),
+                F.coalesce(F.get(chars, i - 1), F.lit("")).alias("left"),
+                F.coalesce(F.get(chars, i + k), F.lit("")).alias("right"),
+            )
+
+        lengths = F.sequence(F.lit(1), F.least(F.lit(max_length), F.size(chars)))
+        return F.flatten(
+            F.transform(
+                lengths,
+                lambda k: F.transform(
+                    F.sequence(F.lit(0), F.size(chars) - k), lambda i: gram(k, i)
                 ),
-            ),
+            )
         )
-    )
+
+    return let(F.split(run, ""), cut)
 
 
 def _entropy(counts: DataFrame, side: str) -> DataFrame:

@@ -31,11 +31,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def token_pattern(terms: Iterable[str] = ()) -> str:
-    """Longest dictionary term first, then the fallback."""
-    ordered = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
-    if len(ordered) > INLINE_TERMS:
-        raise ValueError(f"{len(ordered)} terms: use tokenize_with_dictionary")
-    return "|".join([re.escape(t) for t in ordered] + [FALLBACK_PATTERN])
+    """Longest dictionary term first, then the fallback.
+
+    Terms are grouped by their first character, so that a position tries only the terms that
+    can start there.
+    """
+    words = {t for t in terms if t}
+    if len(words) > INLINE_TERMS:
+        raise ValueError(f"{len(words)} terms: use tokenize_with_dictionary")
+    rests: dict[str, list[str]] = {}
+    for term in sorted(words, key=lambda t: (-len(t), t)):
+        rests.setdefault(term[0], []).append(re.escape(term[1:]))
+    groups = [f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in sorted(rests.items())]
+    return "|".join([*groups, FALLBACK_PATTERN])
+
+
+def row_pattern(terms: Column) -> Column:
+    """The same pattern from an array of the row's own terms."""
+    keyed = F.transform(
+        terms,
+        lambda t: F.struct(
+            F.substring(t, 1, 1).alias("first"), (-F.char_length(t)).alias("size"),
+            F.substring(t, F.lit(2), F.char_length(t)).alias("rest"),
+        ),
+    )
+    groups = runs_of(
+        keyed,
+        lambda x: x["first"],
+        lambda ordered, at, n: F.concat(
+            F.lit("\\Q"), F.get(ordered, at)["first"], F.lit("\\E(?:"),
+            F.array_join(
+                F.transform(
+                    F.slice(ordered, at + 1, n),
+                    lambda x: F.concat(F.lit("\\Q"), x["rest"], F.lit("\\E")),
+                ),
+                "|",
+            ),
+            F.lit(")"),
+        ),
+    )
+    return F.array_join(F.concat(groups, F.array(F.lit(FALLBACK_PATTERN))), "|")
 
 
 def segment(text: Column, pattern: str | Column) -> Column:
@@ -61,7 +96,7 @@ def tokenizer(*, terms: Iterable[str] = (), stopwords: Iterable[str] = ()) -> To
     return lambda text: tokenize(text, terms=terms, stopwords=stopwords)
 
 
-def _runs(items: Column, name: Callable[[Column], Column], make: Callable) -> Column:
+def runs_of(items: Column, name: Callable[[Column], Column], make: Callable) -> Column:
     """Group a sorted array into runs of equal ``name`` without leaving the row."""
 
     def grouped(ordered: Column) -> Column:
@@ -90,7 +125,7 @@ def _runs(items: Column, name: Callable[[Column], Column], make: Callable) -> Co
 
 def term_counts(tokens: Column) -> Column:
     """``array<struct<term, n>>`` of one token list, sorted by term; linear after one sort."""
-    return _runs(
+    return runs_of(
         tokens,
         lambda t: t,
         lambda ordered, at, n: F.struct(F.get(ordered, at).alias("term"), n.alias("n")),
@@ -100,7 +135,7 @@ def term_counts(tokens: Column) -> Column:
 def term_positions(tokens: Column) -> Column:
     """``array<struct<term, at>>``: each distinct item with the list of its indexes."""
     placed = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("i")))
-    return _runs(
+    return runs_of(
         placed,
         lambda x: x["term"],
         lambda ordered, at, n: F.struct(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.tokens import FALLBACK_PATTERN, let, remove_stopwords, segment
+from ..functions.tokens import let, remove_stopwords, row_pattern, segment
 from ..session import materialize, widen
 from .rows import unfold
 
@@ -126,19 +126,8 @@ def tokenize_with_dictionary(
         .agg(F.collect_list("term").alias("_terms"))
     )
     present = F.filter("_terms", lambda t: F.contains(F.col(text), t))
-    # longest first, then by term, each quoted
-    ordered = F.transform(
-        F.sort_array(
-            F.transform(
-                F.coalesce(present, F.array().cast("array<string>")),
-                lambda t: F.struct((-F.char_length(t)).alias("l"), t.alias("t")),
-            )
-        ),
-        lambda x: F.concat(F.lit("\\Q"), x["t"], F.lit("\\E")),
-    )
-    pattern = F.concat(
-        F.lit("(?U)"), F.array_join(F.concat(ordered, F.array(F.lit(FALLBACK_PATTERN))), "|")
-    )
+    terms = F.coalesce(present, F.array().cast("array<string>"))
+    pattern = F.concat(F.lit("(?U)"), row_pattern(terms))
     return (
         docs.join(found, list(key), "left")
         .withColumn(tokens, remove_stopwords(segment(F.col(text), pattern), stopwords))

@@ -87,10 +87,11 @@ STRIP = r"regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)
 
 
 def _unescape(expr: str) -> str:
+    # these old entity names also count without the semicolon
     for entity, char in (
-        ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+        ("&middot", "·"), ("&copy", "©"), ("&quot", '"'), ("&lt", "<"), ("&gt", ">"), ("&amp", "&"),
     ):
-        expr = f"replace({expr}, '{entity}', '{char}')"
+        expr = f"regexp_replace({expr}, '{entity};?', '{char}', 'g')"
     return expr
 
 

@@ -59,4 +59,41 @@ SELECT doc_id, max(CASE WHEN whole THEN digest END) AS text_sha256, max(CASE WHE
 FROM found GROUP BY doc_id, raw
 """
 
-ORACLE: dict[str, str] = {"op8_license_scans": LICENSE_SCANS, "op10_url_filters": URL_FILTERS}
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')".format(
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+
+
+def _shingles(words: str, size: int) -> str:
+    """Distinct runs of words; a shorter text is one run of all its words."""
+    runs = f"list_transform(range(1, len({words}) - {size - 2}), lambda i: array_to_string({words}[i:i + {size - 1}], ' '))"
+    return f"list_distinct(CASE WHEN len({words}) >= {size} THEN {runs} WHEN len({words}) > 0 THEN [array_to_string({words}, ' ')] ELSE [] END)"
+
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sets AS (SELECT doc_id, {_shingles('w', 2)} AS s FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.x = b.x
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON doc_id = a
+"""
+
+DECONTAMINATION = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents), items AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
+probes AS (SELECT item_id, len(s) AS n, unnest(s) AS x FROM (SELECT item_id, {_shingles('w', 5)} AS s FROM items)),
+own AS (SELECT doc_id, unnest({_shingles('w', 5)}) AS x FROM docs)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found
+FROM own JOIN probes USING (x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_near_duplicates": NEAR_DUPLICATES, "op7_decontamination": DECONTAMINATION, "op8_license_scans": LICENSE_SCANS, "op10_url_filters": URL_FILTERS,
+}

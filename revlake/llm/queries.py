@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .contamination import find_leaks
 from .licenses import NOTICES, scan_licenses
+from .near_duplicates import near_duplicates
 from .pieces import encode_digests
 from .token_counts import count_tokens
 from .urls import filter_urls
@@ -22,6 +25,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, values: tuple[tuple[str, str], ...], *names: str) -> DataFrame:
+    """A table of given strings, without Python on the executors."""
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in values])
+    return spark.range(1).select(F.inline(rows))
+
+
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,19 +39,29 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_digests(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"), size=2).drop("th")
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
-    licenses = spark.createDataFrame(NOTICES, "license_id string, text string")
+    licenses = _rows(spark, NOTICES, "license_id", "text")
     return scan_licenses(_table(spark, folder, "documents"), licenses)
 
 
 def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    rules = _rows(spark, URL_RULES, "rule", "verdict")
     return filter_urls(_table(spark, folder, "pages"), rules)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontamination": op7_decontamination,
     "op8_license_scans": op8_license_scans,
     "op10_url_filters": op10_url_filters,
 }

@@ -94,6 +94,37 @@ SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found
 FROM own JOIN probes USING (x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
 """
 
+LINE_DEDUP = r"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(
+  trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS ls FROM docs),
+every AS (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS pos FROM split),
+lines AS (
+  SELECT doc_id, text, pos, ls[pos] AS m, string_split(ls[pos], ' ') AS toks,
+         coalesce(CASE WHEN pos > 1 THEN ls[pos - 1] END, chr(1)) || chr(2) || coalesce(ls[pos + 1], chr(1)) AS around
+  FROM every WHERE ls[pos] <> ''
+), leafed AS (SELECT *, len(toks) || chr(2) || array_to_string(toks[1:3], ' ') AS leaf FROM lines),
+crowded AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM leafed GROUP BY leaf HAVING count(*) >= 10)),
+kinds AS (SELECT leaf, m, any_value(toks) AS toks, count(*) AS n FROM crowded GROUP BY leaf, m),
+total AS (SELECT leaf, sum(n) AS total, max(len(toks)) AS places FROM kinds GROUP BY leaf HAVING count(*) > 1),
+each AS (SELECT leaf, m, n, unnest(range(1, len(toks) + 1)) AS place, unnest(toks) AS token FROM kinds),
+fixed AS (SELECT leaf, place, token FROM each JOIN total USING (leaf) GROUP BY leaf, place, token, total HAVING 2 * sum(n) > total),
+valid AS (SELECT leaf, count(*) AS fixed FROM fixed JOIN total USING (leaf) GROUP BY leaf, places HAVING count(*) * 100 >= places * 60),
+fits AS (SELECT e.leaf, e.m FROM each e JOIN fixed f ON e.leaf = f.leaf AND e.place = f.place AND e.token = f.token
+  JOIN valid v ON e.leaf = v.leaf GROUP BY e.leaf, e.m, v.fixed HAVING count(*) = v.fixed),
+found AS (SELECT c.*, CASE WHEN f.m IS NOT NULL THEN chr(3) || c.leaf ELSE c.m END AS template
+  FROM crowded c LEFT JOIN fits f ON c.leaf = f.leaf AND c.m = f.m),
+often AS (SELECT template, min(doc_id) AS first FROM found GROUP BY template HAVING count(DISTINCT around) >= 10),
+gone AS (SELECT doc_id, text, list(pos) AS gone FROM found JOIN often USING (template) WHERE doc_id <> first GROUP BY doc_id, text),
+cut AS (
+  SELECT d.doc_id, d.text, CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_filter(
+    string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS rest
+  FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.text = g.text
+)
+SELECT doc_id, length(text) AS n_chars, length(rest) AS n_left, sha256(rest) AS text_sha256 FROM cut
+"""
+
 ORACLE: dict[str, str] = {
-    "op6_near_duplicates": NEAR_DUPLICATES, "op7_decontamination": DECONTAMINATION, "op8_license_scans": LICENSE_SCANS, "op10_url_filters": URL_FILTERS,
+    "op6_near_duplicates": NEAR_DUPLICATES, "op7_decontamination": DECONTAMINATION, "op9_line_dedup": LINE_DEDUP,
+    "op8_license_scans": LICENSE_SCANS, "op10_url_filters": URL_FILTERS,
 }

@@ -12,6 +12,8 @@ from .contamination import find_leaks
 from .licenses import NOTICES, scan_licenses
 from .near_duplicates import near_duplicates
 from .pieces import encode_digests
+from .quality import fit_quality, grade_documents
+from .templates import line_report
 from .token_counts import count_tokens
 from .urls import filter_urls
 
@@ -35,6 +37,11 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return grade_documents(docs, fit_quality(docs, _table(spark, folder, "labels"))).drop("th")
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_digests(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -52,6 +59,10 @@ def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(_table(spark, folder, "documents"), licenses)
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(_table(spark, folder, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     rules = _rows(spark, URL_RULES, "rule", "verdict")
     return filter_urls(_table(spark, folder, "pages"), rules)
@@ -59,9 +70,11 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_license_scans": op8_license_scans,
+    "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
 }

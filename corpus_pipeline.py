@@ -7,20 +7,50 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from revlake.llm.contamination import decontaminate
+from revlake.llm.near_duplicates import drop_near_duplicates
 from revlake.llm.pieces import encode_digests
+from revlake.llm.quality import fit_quality, keep_good
+from revlake.llm.templates import drop_recurring_lines
 from revlake.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the best grade is a half or more; the model is fitted on rated ones among them."""
+    return keep_good(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines whose template recurs across documents."""
+    return drop_recurring_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item in them."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded text of what is left, as digests."""
+    """Number of tokens, and digests of ids and decoded text, of every document left."""
     return encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES: list[tuple[str, Stage]] = [("sentencepiece", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_copies),
+    ("decontamination", benchmarks),
+    ("sentencepiece", encode),
+]
 
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express the classifier and the encoding; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

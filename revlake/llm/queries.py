@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import repeated_spans
 from .contamination import find_leaks
 from .licenses import NOTICES, scan_licenses
 from .near_duplicates import near_duplicates
+from .perplexity import quality_rules
 from .pieces import encode_digests
 from .quality import fit_quality, grade_documents
 from .templates import line_report
@@ -46,6 +48,14 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_digests(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(_table(spark, folder, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans(_table(spark, folder, "documents")).drop("th")
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), size=2).drop("th")
 
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_license_scans": op8_license_scans,

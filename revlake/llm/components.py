@@ -2,41 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Links that a task contracts together before they are shuffled.
+HELD = 400_000
+
+
+def stars_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components as the given links, each as a star around its smallest node."""
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    away = label != np.arange(len(nodes))
+    return nodes[away], nodes[label[away]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of as many links at a time as a task may hold."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        return pa.record_batch([*map(pa.array, stars_of(u, v))], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD:
+            yield out(held)
+            held = []
+    if held:
+        yield out(held)
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to its smallest neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours go to the smallest of these."""
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
+    """Each node (a larger one linked with smaller ones) and these go to the smallest of them."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return moved.unionByName(least.withColumnRenamed("m", "v"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (u, v: long), root the smallest node of its component.
+    """(node, root) for every node of ``links`` (u, v: long) that is linked with another; root is the smallest of its component.
 
-    Nodes with many links are aggregated before each shuffle and never gathered. The number of rounds
-    grows with the logarithm of a component's size; each round is a written table.
+    Every round contracts the links that a task holds, then lets stars grow across tasks. Nodes with many links are aggregated
+    before each shuffle and never gathered. The number of rounds grows with the logarithm of a component's
+    size; each round is a written table. Links of a node with itself and repeated links change nothing.
     """
-    links = materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = F.struct(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)"))
-    before = links.agg(mark).first()[0]
+    # read by mapInArrow from where they lie, without a shuffle; u is the larger node from here on
+    links = materialize(links.filter("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "links")
+    before = None
     while True:
-        links = materialize(_small_star(_large_star(links)), "links")
         now = links.agg(mark).first()[0]
         if now == before:
             break
         before = now
+        grown = materialize(_large_star(links), "stars").mapInArrow(_contract, "u long, v long")
+        links = materialize(_small_star(grown).distinct(), "links")
     roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

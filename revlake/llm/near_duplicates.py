@@ -31,6 +31,8 @@ MINIMA, ORDERS, PREFIX = 128, 32, 4
 AGREE = 48  # of MINIMA
 #: Members of a cluster that one task compares, and members that all blocks of a larger one share.
 BLOCK, SHARED = 1500, 24
+#: Up to so many members of clusters (under 100 bytes each) are broadcast to the texts.
+SENT_MEMBERS = 200_000
 _RANDOM = np.random.default_rng(99)
 _A = (_RANDOM.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _RANDOM.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
@@ -224,7 +226,9 @@ def exact_labels(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size
     wanted = classes.join(inside, "cid").select("cid", "root", "blocks", F.col("rep").alias("doc_id"), "th")
     wanted = materialize(wanted, "members")
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    chosen = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["hash"] == wanted["th"]))
+    # short rows, counted: up to a bound they go to the texts, beyond it the texts are shuffled to them
+    side = F.broadcast(wanted) if wanted.count() <= SENT_MEMBERS else wanted
+    chosen = texts.join(side, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["hash"] == wanted["th"]))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,13 +238,14 @@ def exact_labels(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size
             yield pa.record_batch([*batch.columns[:3], pa.ListArray.from_arrays(ends, flat)], ["cid", "root", "blocks", "shingles"])
 
     full = chosen.select("cid", "root", "blocks", "text").mapInArrow(sets, "cid long, root long, blocks int, shingles array<long>")
+    full = materialize(full, "sets")
     no = F.lit(False).alias("probe")
     small = full.filter("blocks = 1").select("root", F.lit(0).alias("block"), "cid", no, "shingles")
     labels = _blocks(small, percent)
     if wanted.filter("blocks > 1").isEmpty():
         return labels.toDF("cid", "label")
 
-    large = materialize(full.filter("blocks > 1"), "large")
+    large = full.filter("blocks > 1")
     home = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     # members whose hash falls into a small share are in all blocks

@@ -100,8 +100,8 @@ def _discounts(grams: DataFrame) -> DataFrame:
     n = [F.sum(F.when(F.col("c") == k, 1.0).otherwise(0.0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
     counts = grams.groupBy("lang").agg(*n)
     usual = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-    y = F.expr("n1 / (n1 + 2 * n2)")
-    own = [F.lit(k) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}") for k in (1, 2, 3)]
+    y = F.try_divide(F.col("n1"), F.expr("n1 + 2 * n2"))
+    own = [F.lit(k) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")) for k in (1, 2, 3)]
     fine = usual & reduce(lambda a, b: a & b, [(d > 0) & (d < k) for k, d in zip((1, 2, 3), own)])
     return counts.select("lang", *[F.when(fine, d).otherwise(k / 2).alias(f"d{k}") for k, d in zip((1, 2, 3), own)])
 
@@ -144,7 +144,7 @@ class GramModel:
         order = np.lexsort((key, part, number))
         part, key, value, number = part[order], key[order], value[order], number[order]
         cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (number[1:] != number[:-1])])
-        for a, b in zip(cut, np.r_[cut[1:], len(key)]):
+        for a, b in zip(cut, np.r_[cut[1:], len(key)] if len(key) else []):
             self.arrays[str(names[number[a]]), int(part[a])] = key[a:b].copy(), value[a:b].copy()
 
     def _find(self, lang: str, part: int, keys: np.ndarray) -> np.ndarray:

@@ -65,6 +65,7 @@ class Pieces:
         self.rank = rank[self.result].astype(np.int64)
         self.bytes = [b"" if lib.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         self.bytes[lib.unk_id()] = " ⁇ ".encode()
+        self.control = {i for i in range(len(names)) if lib.is_control(i)}
         self.spaced = {i for p, i in plain.items() if p.startswith(SPACE)}
         self.value = {i: b for b, i in enumerate(self.byte)}
         self.words = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+").findall
@@ -221,9 +222,9 @@ class Pieces:
             out.append(table[i])
         if run:
             out.append(_characters(run))
-        if ids and ids[0] in self.spaced:
-            out[0] = out[0][1:]
-        return b"".join(out).decode()
+        whole = b"".join(out)
+        first = next((i for i in ids if i not in self.control), None)
+        return whole[first in self.spaced :].decode()
 
 
 def _characters(run: bytearray) -> bytes:

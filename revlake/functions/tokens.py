@@ -52,7 +52,8 @@ def row_pattern(terms: Column) -> Column:
         terms,
         lambda t: F.struct(
             F.substring(t, 1, 1).alias("first"), (-F.char_length(t)).alias("size"),
-            F.substring(t, F.lit(2), F.char_length(t)).alias("rest"),
+            # a term's own end mark would end the quoting
+            F.replace(F.substring(t, F.lit(2), F.char_length(t)), F.lit("\\E"), F.lit("\\E\\\\E\\Q")).alias("rest"),
         ),
     )
     groups = runs_of(

@@ -21,8 +21,8 @@ from ..operators.sentiment_model import Scorer, model_scorer, rule_scorer, selec
 from ..schemas import ANALYZED, KEY, PROCESSED, RAW
 from ..session import materialize
 from ..sources.landing import read_payload_pages
-from ..sources.payloads import MAX_PAGES, contiguous_pages, open_pages, parse_reviews, route_platform
-from ..sources.tables import ReviewTables
+from ..sources.payloads import contiguous_pages, open_pages, page_gaps, parse_reviews, route_platform
+from ..sources.tables import ReviewTables, newest_first
 from ..sources.wordlists import STOPWORDS_ZH, read_stopwords
 
 
@@ -96,24 +96,66 @@ def batch_order() -> list[Column]:
 
 
 def parse_landed(pages: DataFrame) -> DataFrame:
-    """Every page parsed once and stored; empty pages stay as rows without a ``seq``."""
+    """Every page parsed once and stored; empty and broken pages stay as rows without a ``seq``."""
     return materialize(parse_reviews(open_pages(pages), keep_empty=True), "parsed")
 
 
+def record_landing(parsed: DataFrame, tables: ReviewTables) -> None:
+    """Sizes of readable pages, pages that cannot be read, and reviews without an id, as tables.
+
+    All reviews without an id share one key in ``raw_reviews``, where the newest wins; here each has its place as the key.
+    """
+    place = F.concat_ws("/", "product_id", "page")
+    readable = parsed.filter(F.col("n_items").isNotNull() & (F.coalesce("seq", F.lit(0)) == 0))
+    tables.upsert("page_index", readable.withColumn("review_id", place))
+    broken = parsed.filter(F.col("error").isNotNull())
+    if not broken.isEmpty():
+        known = F.when(F.col("product_id").isNotNull() & F.col("page").isNotNull(), place)
+        tables.upsert("quarantined_pages", broken.withColumn("review_id", F.coalesce(known, F.md5(F.coalesce("payload", F.lit(""))))))
+    idless = parsed.filter(F.col("seq").isNotNull() & (F.col("review_id") == ""))
+    if not idless.isEmpty():
+        tables.upsert("idless_reviews", idless.withColumn("review_id", F.concat_ws("/", place, "seq")))
+
+
+def missing_pages(tables: ReviewTables) -> DataFrame:
+    """Pages before the end of their product that have not landed in any form."""
+    page = ["platform", "product_id", "page"]
+    broken = tables.read("quarantined_pages").filter("product_id IS NOT NULL AND page IS NOT NULL")
+    landed = tables.read("page_index").select(*page, "n_items").unionByName(
+        broken.select(*page, F.lit(None).cast("int").alias("n_items"))
+    )
+    return page_gaps(landed)
+
+
+def landing_report(tables: ReviewTables) -> DataFrame:
+    """Number of quarantined pages, missing pages and reviews without an id by platform and product."""
+    kinds = {"quarantined": tables.read("quarantined_pages"), "missing": missing_pages(tables), "idless": tables.read("idless_reviews")}
+    rows = [df.select("platform", "product_id", F.lit(kind).alias("kind")) for kind, df in kinds.items()]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    counts = [F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds]
+    return every.groupBy("platform", "product_id").agg(*counts)
+
+
 def ingest_parsed(
     parsed: DataFrame, tables: ReviewTables, *, incremental: bool = True,
-    max_pages: int | None = MAX_PAGES, index: DataFrame | None = None,
+    max_pages: int | None = None, stored_index: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Store the new reviews of parsed pages; returns the fetched and the fresh rows."""
-    fetched = contiguous_pages(parsed, max_pages, index).filter(F.col("seq").isNotNull())
-    fresh = fresh_reviews(fetched, tables.read("raw_reviews"), incremental)
+    """Store the new reviews of parsed pages; returns the fetched and the fresh rows.
+
+    What does not become a review of its own is stored too, see ``record_landing``.
+    """
+    record_landing(parsed, tables)
+    # the pages of one product may land in different batches, so its first empty page can only be told from all of them
+    index = tables.read("page_index") if stored_index else None
+    fetched = contiguous_pages(parsed, max_pages, index).filter(F.col("seq").isNotNull()).drop("error", "payload")
+    fresh = materialize(fresh_reviews(fetched, tables.read("raw_reviews"), incremental), "fresh")
     tables.upsert("raw_reviews", fresh, batch_order())
     return fetched, fresh
 
 
 def ingest(
     spark: SparkSession, landing_dir: str, tables: ReviewTables, *, incremental: bool = True,
-    max_pages: int | None = 5, platform: str | None = None, product_id: str | None = None,
+    max_pages: int | None = None, platform: str | None = None, product_id: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Landed pages of all (or one) products into ``raw_reviews``."""
     if platform:
@@ -141,19 +183,26 @@ def pending_raw(tables: ReviewTables) -> DataFrame:
 
 
 def refine(
-    tables: ReviewTables, raw: DataFrame | None = None, options: TextOptions = TextOptions()
+    tables: ReviewTables, raw: DataFrame | None = None, options: TextOptions = TextOptions(), *,
+    platform: str | None = None, product_id: str | None = None,
 ) -> DataFrame:
-    """Process and analyze raw rows (default: all pending ones) and store both layers.
+    """Process and analyze raw rows (default: all pending ones, or those of one platform or product) and store both layers.
+
+    Of given rows with one key the latest fetch counts.
 
     The frames read fixed versions of the tables, so the selection stays the same while the
     layers are written, and each layer is computed once.
     """
     tables.init_tables()
     stored = raw is None
-    rows = pending_raw(tables) if stored else raw
+    rows = pending_raw(tables) if stored else latest_by_key(raw, KEY, newest_first(raw))
+    if platform:
+        rows = rows.filter(F.col("platform") == platform)
+    if product_id:
+        rows = rows.filter(F.col("product_id") == product_id)
     fetch = [*KEY, "fetched_at"]
     chosen = rows.select(*fetch)
-    tables.upsert("processed_reviews", process_reviews(rows, options), unique=stored)
+    tables.upsert("processed_reviews", process_reviews(rows, options), unique=True)
     processed = tables.read("processed_reviews").join(chosen, fetch, "left_semi")
     tables.upsert("analyzed_reviews", analyze_reviews(processed, options), unique=True)
     done = tables.read("analyzed_reviews").join(chosen, fetch, "left_semi")
@@ -162,7 +211,7 @@ def refine(
 
 def run_reviews(
     spark: SparkSession, landing_dir: str, tables: ReviewTables, *, incremental: bool = True,
-    max_pages: int | None = 5, platform: str | None = None, product_id: str | None = None,
+    max_pages: int | None = None, platform: str | None = None, product_id: str | None = None,
     options: TextOptions = TextOptions(),
 ) -> tuple[DataFrame, DataFrame]:
     """Ingest and refine; returns the newly analyzed rows and the counts per product."""
@@ -170,13 +219,13 @@ def run_reviews(
         spark, landing_dir, tables, incremental=incremental, max_pages=max_pages,
         platform=platform, product_id=product_id,
     )
-    analyzed = refine(tables, options=options)
+    analyzed = refine(tables, options=options, platform=platform, product_id=product_id)
     return analyzed, run_summary(fetched, fresh, analyzed)
 
 
 def load_landing(
     spark: SparkSession, landing_dir: str, root: str, products: Sequence[tuple[str, str]] = (),
-    max_pages: int | None = 2, options: TextOptions = TextOptions(),
+    max_pages: int | None = None, options: TextOptions = TextOptions(),
 ) -> DataFrame:
     """Everything that has landed (or some products) through all layers in one job."""
     tables = ReviewTables(spark, root, buckets=Settings.from_session(spark).buckets)

@@ -57,4 +57,18 @@ ANALYZED = T.StructType(
 LEXICON = _struct(("term", _S, False), ("polarity", _S, False))
 STOPWORDS = _struct(("term", _S, False))
 
-TABLES = {"raw_reviews": RAW, "processed_reviews": PROCESSED, "analyzed_reviews": ANALYZED}
+# What the pages of a landing folder were. ``review_id`` holds the key of a page (or of an item on it).
+PAGE_INDEX = _struct(
+    ("platform", _S, False), ("review_id", _S, False), ("product_id", _S, False),
+    ("page", _I, False), ("n_items", _I, False), ("fetched_at", _TS, True),
+)
+QUARANTINED = _struct(
+    ("platform", _S, False), ("review_id", _S, False), ("product_id", _S, True),
+    ("page", _I, True), ("error", _S, False), ("payload", _S, True), ("fetched_at", _TS, True),
+)
+IDLESS = T.StructType(RAW.fields + _struct(("page", _I, False), ("seq", _I, False)).fields)
+
+TABLES = {
+    "raw_reviews": RAW, "processed_reviews": PROCESSED, "analyzed_reviews": ANALYZED,
+    "page_index": PAGE_INDEX, "quarantined_pages": QUARANTINED, "idless_reviews": IDLESS,
+}

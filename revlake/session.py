@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,14 +55,16 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *keys)
 
 
-_scopes: list[list[str]] = []
+# the scope of the running thread or task; each keeps its own paths
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below one folder per application, so leftovers can be told by owner."""
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/revlake-{app}/{name}-{uuid.uuid4().hex}"
-    for scope in _scopes[-1:]:
+    scope = _scope.get()
+    if scope is not None:
         scope.append(path)
     return path
 
@@ -69,11 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Remove the scratch tables written inside the block once it is left."""
-    _scopes.append([])
+    own: list[str] = []
+    token = _scope.set(own)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(token)
+        for path in own:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.reviews import TextOptions, ingest_parsed, newest_in_batch, parse_landed, refine
 from ..schemas import TABLES
 from ..session import scratch_scope
 from ..sources.landing import stream_payload_pages
-from ..sources.payloads import MAX_PAGES
 from ..sources.tables import ReviewTables
 
-# Sizes of all pages seen so far. The pages of one product may land in different batches, so
-# its first empty page can only be told from all of them. ``review_id`` holds the page key.
-PAGE_INDEX = T.StructType(
-    [
-        T.StructField("platform", T.StringType(), False),
-        T.StructField("review_id", T.StringType(), False),
-        T.StructField("product_id", T.StringType(), False),
-        T.StructField("page", T.IntegerType(), False),
-        T.StructField("n_items", T.IntegerType(), False),
-        T.StructField("fetched_at", T.TimestampNTZType(), True),
-    ]
-)
-
-
 def stream_tables(spark: SparkSession, root: str, *, buckets: int = 64) -> ReviewTables:
-    return ReviewTables(spark, root, buckets=buckets, schemas={**TABLES, "page_index": PAGE_INDEX})
+    return ReviewTables(spark, root, buckets=buckets, schemas=TABLES)
 
 
 def ingest_stream(
@@ -37,7 +22,7 @@ def ingest_stream(
     checkpoint: str,
     *,
     incremental: bool = True,
-    max_pages: int | None = MAX_PAGES,
+    max_pages: int | None = None,
     analyze: bool = False,
     options: TextOptions = TextOptions(),
     max_files: int | None = None,
@@ -56,16 +41,8 @@ def ingest_stream(
         nonlocal healed
         with scratch_scope(spark):
             parsed = parse_landed(pages)
-            # empty pages are rows too, so every readable page is in here
-            known = parsed.filter(F.col("n_items").isNotNull()).select(
-                "platform",
-                F.concat_ws("/", "product_id", "page").alias("review_id"),
-                "product_id", "page", "n_items", "fetched_at",
-            )
-            tables.upsert("page_index", known)
             _, fresh = ingest_parsed(
-                parsed, tables, incremental=incremental, max_pages=max_pages,
-                index=tables.read("page_index"),
+                parsed, tables, incremental=incremental, max_pages=max_pages, stored_index=True,
             )
             if not healed:  # once per run: whatever an earlier run left unanalyzed
                 refine(tables, options=options)

@@ -83,7 +83,7 @@ SIZES = """sizes AS (
          count(*) FILTER (n_chars > 700) AS n_items
   FROM reviews GROUP BY ALL)"""
 
-STRIP = r"regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g')"
+STRIP = r"regexp_replace(regexp_replace({0}, '(?s)<!--.*?(?:-->|\z)', ' ', 'g'), '(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', ' ', 'g')"
 
 
 def _unescape(expr: str) -> str:
@@ -199,6 +199,17 @@ LANDED = f"""WITH {REVIEWS}, {PAGES}, landed AS (
               WHEN doc_id % 3 = 0 THEN 'r-' || review_id ELSE 't-' || review_id END AS review_id
   FROM (SELECT * REPLACE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text) FROM paged))"""
 
+DAMAGED = f"""WITH {REVIEWS}, paged AS (
+  SELECT *, CAST(doc_id // 20 // 3 + CASE WHEN platform = 'jd' THEN 0 ELSE 1 END AS INTEGER) AS page FROM reviews),
+placed AS (SELECT * REPLACE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text), CAST(row_number() OVER (
+    PARTITION BY platform, product_id, page ORDER BY CASE WHEN platform = 'jd' THEN doc_id ELSE 0 END,
+    CASE WHEN doc_id % 3 = 0 THEN '' ELSE 't-' || review_id END, 'r-' || review_id) - 1 AS INTEGER) AS seq FROM paged),
+damaged AS (
+  SELECT platform, product_id, rating, text, page, seq,
+         CASE WHEN platform = 'jd' THEN CASE WHEN doc_id = 0 THEN 'g-0' ELSE review_id END
+              WHEN doc_id % 3 = 0 THEN 'r-' || review_id ELSE 't-' || review_id END AS review_id
+  FROM placed)"""
+
 LANDED_SCORED = f"""{LANDED}, cleaned AS (SELECT * REPLACE ({_clean('text')} AS text) FROM landed),
 {_scored('cleaned')}"""
 
@@ -255,6 +266,14 @@ stripped AS (SELECT doc_id, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS b FRO
 opened AS (SELECT doc_id, CASE WHEN starts_with(b, 'fetchJSON') AND contains(b, '(') AND ends_with(b, ');')
   THEN substr(b, instr(b, '(') + 1, length(b) - instr(b, '(') - 2) ELSE b END AS p FROM stripped)
 SELECT doc_id, {_md5('p', 'payload')} FROM opened""",
+    "ingest_defaults": f"""{DAMAGED} SELECT platform, product_id, review_id, rating, {_md5('text', 'text')} FROM damaged WHERE page % 7 NOT IN (2, 4, 6)""",
+    "quarantined_pages": f"{DAMAGED} SELECT DISTINCT platform, product_id, page, 'invalid JSON' AS error FROM damaged WHERE page % 7 = 2",
+    "ingest_gaps": f"""{DAMAGED}, pages AS (SELECT DISTINCT platform, product_id, page FROM damaged WHERE page % 7 <> 6),
+expected AS (SELECT platform, product_id, CAST(unnest(range(CASE WHEN platform = 'jd' THEN {FIRST_PAGE['jd']}
+  ELSE {FIRST_PAGE['tmall']} END, last + 1)) AS INTEGER) AS page
+  FROM (SELECT platform, product_id, max(page) AS last FROM pages GROUP BY ALL))
+SELECT platform, product_id, page FROM expected ANTI JOIN pages USING (platform, product_id, page)""",
+    "idless_reviews": f"SELECT platform, product_id, page, seq, text_md5, text_chars FROM ({DAMAGED} SELECT *, {_md5('text', 'text')} FROM damaged WHERE page % 7 = 4)",
     "parse_jd_reviews": f"""WITH {REVIEWS}, {PAGES},
 own AS (SELECT *, regexp_replace('  ' || text || chr(10), '^\\s+|\\s+$', '', 'g') AS t FROM paged WHERE platform = 'jd')
 SELECT platform, product_id, CASE WHEN doc_id = 0 THEN 'g-0' ELSE review_id END AS review_id, rating,

@@ -12,7 +12,7 @@ from ..operators import (
     dictionary, insights, joins, keywords, language, marts, ranking, rolling, sentiment_model,
 )
 from ..operators.rows import unfold
-from ..plans.reviews import TextOptions, analyze_reviews, load_landing, process_reviews
+from ..plans.reviews import TextOptions, analyze_reviews, ingest, load_landing, missing_pages, process_reviews
 from ..session import scratch_path
 from ..sources import landing, payloads, wordlists
 from ..sources.tables import ReviewTables
@@ -46,6 +46,47 @@ def _land(spark: SparkSession, sf: str) -> str:
     return path
 
 
+DAMAGED_PAGE = 3  # reviews on each page of a damaged landing; most products then have over ten pages
+
+
+def _damaged(spark: SparkSession, sf: str) -> ReviewTables:
+    """Tables of a landing in which some pages are missing, cut off, or hold reviews without ids, read with default arguments."""
+    pages = landed_pages(spark, sf, DAMAGED_PAGE)
+    number = F.regexp_extract("location", "(?:_page|currentPage)-([0-9]+)", 1).cast("int")
+    body = (
+        F.when(number % 7 == 2, F.substring("body", 1, 60))
+        .when(number % 7 == 4, F.regexp_replace("body", '"(id|guid|tradeId)":', '"no_$1":'))
+        .otherwise(F.col("body"))
+    )
+    path = scratch_path(spark, "landing")
+    pages.filter(number % 7 != 6).select("location", body.alias("body")).write.partitionBy("location").text(path)
+    tables = ReviewTables(spark, scratch_path(spark, "damaged"), buckets=8)
+    ingest(spark, path, tables)
+    return tables
+
+
+@query
+def ingest_defaults(spark, sf):
+    raw = _damaged(spark, sf).read("raw_reviews").filter("review_id <> ''")
+    return raw.select("platform", "product_id", "review_id", "rating", *_digest(F.col("text"), "text"))
+
+
+@query
+def quarantined_pages(spark, sf):
+    return _damaged(spark, sf).read("quarantined_pages").select("platform", "product_id", "page", "error")
+
+
+@query
+def ingest_gaps(spark, sf):
+    return missing_pages(_damaged(spark, sf))
+
+
+@query
+def idless_reviews(spark, sf):
+    lost = _damaged(spark, sf).read("idless_reviews")
+    return lost.select("platform", "product_id", "page", "seq", *_digest(F.col("text"), "text"))
+
+
 def _opened(spark: SparkSession, sf: str) -> DataFrame:
     pages = landing.payload_pages(landed_pages(spark, sf), "location", "body")
     return payloads.open_pages(pages)

@@ -87,11 +87,11 @@ def _stamp(pattern: str) -> Column:
     return F.when(bad, "unknown").otherwise(F.date_format(at, pattern))
 
 
-def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payload pages ``(location, body)`` made from the documents, ten reviews each."""
+def landed_pages(spark: SparkSession, sf_dir: str, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Payload pages ``(location, body)`` made from the documents, ten reviews each unless ``page_size`` says otherwise."""
     rows = reviews(spark, sf_dir).withColumn(
         "page",
-        F.floor(F.floor(F.col("doc_id") / 20) / PAGE_SIZE).cast("int")
+        F.floor(F.floor(F.col("doc_id") / 20) / page_size).cast("int")
         + F.when(F.col("platform") == "jd", 0).otherwise(1),
     )
     jd_item = F.struct(

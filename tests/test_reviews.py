@@ -1,9 +1,15 @@
+import os
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import JD_PRODUCT, JD_REVIEWS, jd_body, jd_name, rows
-from revlake.plans.reviews import TextOptions, ingest, load_landing, pending_raw, refine, run_reviews
+from revlake.plans.reviews import (
+    TextOptions, ingest, landing_report, load_landing, missing_pages, pending_raw, refine, run_reviews,
+)
 from revlake.schemas import ANALYZED, PROCESSED, RAW
+from revlake.session import materialize, scratch_scope
 from revlake.sources.tables import ReviewTables
 from revlake.streaming.ingest import ingest_stream, stream_tables
 
@@ -119,3 +125,58 @@ def test_options_segment_with_own_words(spark):
     assert df.select(options.segment(F.col("t"))).first()[0] == [
         "这个", "手机", "的", "屏幕", "非常好", "abc1",
     ]
+
+
+def landed(folder, products):
+    """Files of pages with one review each: {product: [body or None for a broken page]}."""
+    folder.mkdir()
+    for product, pages in products.items():
+        for page, items in enumerate(pages):
+            body = "{broken" if items is None else jd_body(items)
+            (folder / jd_name(page, product)).write_text(body, encoding="utf-8")
+    return str(folder)
+
+
+def test_nothing_that_landed_is_lost(spark, tmp_path):
+    def item(i):
+        return {"id": i, "content": f"review {i}", "score": 5}
+
+    good = [[item(100 + 2 * k), item(101 + 2 * k)] for k in range(12)]
+    pages = {"1": good, "2": [[item(7)], None, [item(8)]], "3": [[{"content": "no id"}, {"content": "none either"}]], "4": [[item(9)], [item(10)], [item(11)]]}
+    path = landed(tmp_path / "land", pages)
+    os.remove(f"{path}/{jd_name(1, '4')}")
+    tables = ReviewTables(spark, str(tmp_path / "t"), buckets=2)
+    run_reviews(spark, path, tables)
+    counts = {r.product_id: r["count"] for r in tables.read("raw_reviews").groupBy("product_id").count().collect()}
+    assert counts == {"1": 24, "2": 2, "3": 1, "4": 2}
+    assert rows(tables.read("quarantined_pages"), "product_id", "page", "error") == [("2", 1, "invalid JSON")]
+    assert rows(missing_pages(tables), "product_id", "page") == [("4", 1)]
+    assert rows(tables.read("idless_reviews"), "product_id", "page", "seq") == [("3", 0, 0), ("3", 0, 1)]
+    assert rows(landing_report(tables), "product_id", "quarantined", "missing", "idless") == [("2", 1, 0, 0), ("3", 0, 0, 2), ("4", 0, 1, 0)]
+
+
+def test_refine_takes_the_latest_of_given_rows_and_a_selection(spark, tables, landing):
+    ingest(spark, str(landing), tables)
+    raw = tables.read("raw_reviews")
+    older = raw.withColumn("text", F.lit("older")).withColumn("fetched_at", F.expr("fetched_at - interval 1 day"))
+    done = refine(tables, raw.unionByName(older), product_id=JD_PRODUCT)
+    assert {r.product_id for r in done.collect()} == {JD_PRODUCT}
+    assert done.filter("text = 'older'").count() == 0 and done.count() == raw.filter(F.col("product_id") == JD_PRODUCT).count()
+
+
+def test_scopes_of_threads_are_apart(spark):
+    inside, leave = threading.Event(), threading.Event()
+
+    def other():
+        with scratch_scope(spark):
+            inside.set()
+            leave.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    with scratch_scope(spark):
+        mine = materialize(spark.range(3), "mine")
+        leave.set()
+        thread.join()
+        assert mine.count() == 3

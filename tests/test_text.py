@@ -1,5 +1,6 @@
 import html
 import re
+import time
 import unicodedata
 
 import pytest
@@ -187,3 +188,16 @@ def test_model_output_mapping(spark):
         ("neutral", 0.0), ("positive", 0.9), ("positive", 0.7), ("positive", 0.6),
         ("negative", -0.8), ("negative", -0.5), ("neutral", 0.0), ("neutral", 0.0),
     ]
+
+
+def test_cleaning_is_linear_and_lets_filters_pass(spark, tmp_path):
+    for scrap in ("<!--", "<script>", "<a ", '<a href="', "</a "):
+        long = spark.createDataFrame([(scrap * 100_000,)], "t string")
+        start = time.monotonic()
+        long.select(clean.clean_review_text(F.col("t")).alias("c")).collect()
+        assert time.monotonic() - start < 20  # minutes, were it quadratic
+    spark.range(10).select("id", F.lit("<b>x</b> &amp; ｙ").alias("t")).write.parquet(str(tmp_path / "t"))
+    cleaned = spark.read.parquet(str(tmp_path / "t")).select("id", clean.clean_review_text(F.col("t")).alias("c")).filter("id = 3")
+    assert [tuple(r) for r in cleaned.collect()] == [(3, "x & y")]
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Filter")

@@ -136,16 +136,19 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
 class GramModel:
     """Sorted key arrays with their values, by language and part."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, model: DataFrame):
+        """Collects the model part by part, so that the driver holds little beyond the arrays."""
         self.arrays: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        lang = table.column("lang").to_numpy()
-        part, key, value = (table.column(c).to_numpy() for c in ("part", "key", "value"))
-        names, number = np.unique(lang.astype(str), return_inverse=True)
-        order = np.lexsort((key, part, number))
-        part, key, value, number = part[order], key[order], value[order], number[order]
-        cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (number[1:] != number[:-1])])
-        for a, b in zip(cut, np.r_[cut[1:], len(key)] if len(key) else []):
-            self.arrays[str(names[number[a]]), int(part[a])] = key[a:b].copy(), value[a:b].copy()
+        for part in range(2, 2 * ORDER + 2):
+            table = model.filter(F.col("part") == part).select("lang", "key", "value").toArrow().combine_chunks()
+            if not table.num_rows:
+                continue
+            lang = table.column("lang").combine_chunks().dictionary_encode()
+            number, key, value = lang.indices.to_numpy(), table.column("key").to_numpy(), table.column("value").to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = np.flatnonzero(number == k)
+                own = own[np.argsort(key[own])]
+                self.arrays[name, part] = key[own], value[own]
 
     def _find(self, lang: str, part: int, keys: np.ndarray) -> np.ndarray:
         """Values of keys, NaN where there is none."""
@@ -284,7 +287,7 @@ def quality_rules(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
     spark = docs.sparkSession
     model = materialize(kneser_ney(count_grams(docs)), "model")
     if model.count() * 20 <= broadcast_bytes:
-        rows = _scored(docs, spark.sparkContext.broadcast(GramModel(model.toArrow())))
+        rows = _scored(docs, spark.sparkContext.broadcast(GramModel(model)))
     else:
         lp = _joined_scores(docs, model).toDF("id", "hash", "language", "joined")
         rows = _scored(docs, None)

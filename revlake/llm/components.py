@@ -64,6 +64,13 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "v"))
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether each larger node has one link, to a node that has no link to a smaller one itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+    count = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return count.filter("down > 1 OR (down = 1 AND least = 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v: long) that is linked with another; root is the smallest of its component.
 
@@ -71,15 +78,10 @@ def components(links: DataFrame) -> DataFrame:
     before each shuffle and never gathered. The number of rounds grows with the logarithm of a component's
     size; each round is a written table. Links of a node with itself and repeated links change nothing.
     """
-    mark = F.struct(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)"))
-    # read by mapInArrow from where they lie, without a shuffle; u is the larger node from here on
-    links = materialize(links.filter("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "links")
-    before = None
-    while True:
-        now = links.agg(mark).first()[0]
-        if now == before:
-            break
-        before = now
+    # written first, so that a task reads many links at once to contract; u is the larger node from here on
+    given = materialize(links.filter("u <> v"), "links")
+    links = materialize(given.mapInArrow(_contract, "u long, v long").distinct(), "links")
+    while not _all_stars(links):
         grown = materialize(_large_star(links), "stars").mapInArrow(_contract, "u long, v long")
         links = materialize(_small_star(grown).distinct(), "links")
     roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

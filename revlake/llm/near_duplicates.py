@@ -89,18 +89,15 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes next or next but one to each other in a sorted order, if they share a prefix."""
+    """Pairs of classes next to each other in a sorted order, if they share a prefix."""
     tail = np.zeros((2, 0), np.int64)
     for batch in batches:
         key = np.r_[tail[0], batch.column(0).to_numpy(zero_copy_only=False)]
         own = np.r_[tail[1], batch.column(1).to_numpy(zero_copy_only=False)]
-        us, vs = [], []
-        for step in (1, 2):
-            near = np.flatnonzero(key[:-step] == key[step:])
-            us.append(np.maximum(own[near], own[near + step]))
-            vs.append(np.minimum(own[near], own[near + step]))
-        yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-        tail = np.stack([key[-2:], own[-2:]])
+        near = np.flatnonzero(key[:-1] == key[1:])
+        pair = own[near], own[near + 1]
+        yield pa.record_batch([pa.array(np.maximum(*pair)), pa.array(np.minimum(*pair))], ["u", "v"])
+        tail = np.stack([key[-1:], own[-1:]])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

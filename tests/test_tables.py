@@ -99,6 +99,8 @@ def test_retention_and_compaction(spark, tmp_path):
     tables.upsert("analyzed_reviews", done)
     cut = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
     assert tables.retain_raw(cut) == 3  # r2, r4, r6 are old and analyzed, r0 is not analyzed
+    on_disk = spark.read.option("recursiveFileLookup", "true").parquet(str(tables.root) + "/raw_reviews")
+    assert not {r.review_id for r in on_disk.collect()} & {"r2", "r4", "r6"}
     left = {r.review_id for r in tables.read("raw_reviews").collect()}
     assert left == {"r0", "r1", "r3", "r5", "r7", "s0", "s1", "s2", "s3"}
     assert tables.retain_raw(cut) == 0
@@ -106,6 +108,8 @@ def test_retention_and_compaction(spark, tmp_path):
     tables.upsert("raw_reviews", raw(spark, [("jd", "t1", "p", 1, 9), ("jd", "t2", "p", 1, 9), ("jd", "t3", "p", 1, 9)]))
     tables.compact("raw_reviews", leaves=1)
     assert len(rows(tables.read("raw_reviews"))) == len(before) + 3
+    assert tables.vacuum("raw_reviews") > 0 and tables.vacuum("raw_reviews") == 0
+    assert len(rows(tables.read("raw_reviews"))) == len(before) + 3
 
 
 def test_platform_filter_prunes_folders(spark, tmp_path):

@@ -215,7 +215,8 @@ def test_rolling_mean_equals_pandas(spark, by):
 
 
 def test_script_language(spark):
-    cases = {"这是一个中文句子": "zh-cn", "これはペンです": "ja", "한국어": "ko", "": "unknown", "123 !": "unknown", "hello": None}
+    cases = {"这是一个中文句子": "zh-cn", "これはペンです": "ja", "한국어": "ko", "": "unknown", "123 !": "unknown", "hello": None,
+             "An English sentence with one 字 sign": None, "Good phone の": None, "iPhone 手机很好": "zh-cn", "这个の手机非常好用": "zh-cn"}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: r.tag for r in df.select("t", language.script_language(F.col("t")).alias("tag")).collect()}
     assert got == cases

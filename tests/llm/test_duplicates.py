@@ -135,6 +135,21 @@ def test_recurring_templates_are_dropped_but_once(make_docs, odd_pairs):
     assert drop_recurring_lines(make_docs([])).count() == 0
 
 
+def test_blocks_of_boilerplate_recur_by_documents(make_docs):
+    own = [f"body {'abcdefghijklmn'[k] * 9} of a page with words of its own" for k in range(14)]
+    head, foot = "site news sport\nall pages of this site\nsearch in it", "about this site\nterms of use\nwrite to the editors"
+    pairs = [(k, f"{head}\n{t}\n{foot}") for k, t in enumerate(own)] + [(30, "terms of use"), (31, "another page\nof two lines")]
+    left = {r.doc_id: r.text for r in drop_recurring_lines(make_docs(pairs)).collect()}
+    assert left[0] == pairs[0][1] and left[30] == "" and left[31] == pairs[-1][1]
+    assert all(left[k] == own[k] for k in range(1, 14))
+
+
+def test_near_copies_keep_their_lines(make_docs):
+    body = [f"{w} stands in a line that all the copies of one story have" for w in "anna bert carl dora emil fritz gerd hans ida jan".split()]
+    pairs = [(k, "\n".join([*body, "copied by " + "abcdefghijklmn"[k] * 5])) for k in range(14)]
+    assert {r.doc_id: r.text for r in drop_recurring_lines(make_docs(pairs)).collect()} == dict(pairs)
+
+
 def test_leaf_template_generalises_a_word(make_docs):
     names = "anna bert carl dora emil fritz gerd hans ida jan karl lena".split()
     pairs = [(k, f"{n} begins\nposted in the news by {n} with all rights kept\n{n} ends") for k, n in enumerate(names)]

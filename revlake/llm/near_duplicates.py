@@ -10,7 +10,8 @@
 3. Candidates whose signatures agree in 3 of 8 minima or more tie classes together to clusters. A class is
    tied to its crowd even if its neighbours there are not those it is linked with. A cluster only says where links can be.
 4. Inside a cluster all links are decided on the full sets. Large clusters are dealt out in blocks with
-   a few members in common; what is not in a cluster's largest component then meets every block. So
+   a few members in common. What is not in a cluster's largest component is then dealt out in pieces of a
+   block's size, and every piece meets every block in a task of its own, which holds these two only. So
    every pair is compared except those known to be connected.
 """
 
@@ -234,7 +235,8 @@ def exact_labels(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size
             flat = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))
             yield pa.record_batch([*batch.columns[:3], pa.ListArray.from_arrays(ends, flat)], ["cid", "root", "blocks", "shingles"])
 
-    full = chosen.select("cid", "root", "blocks", "text").mapInArrow(sets, "cid long, root long, blocks int, shingles array<long>")
+    # a repeated row has the same text: one stands for its class
+    full = chosen.select("cid", "root", "blocks", "text").dropDuplicates(["cid"]).mapInArrow(sets, "cid long, root long, blocks int, shingles array<long>")
     full = materialize(full, "sets")
     no = F.lit(False).alias("probe")
     small = full.filter("blocks = 1").select("root", F.lit(0).alias("block"), "cid", no, "shingles")
@@ -253,14 +255,21 @@ def exact_labels(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size
     found = large.select("cid", "root").join(parts.toDF("cid", "part"), "cid", "left").select("cid", "root", F.coalesce("part", "cid").alias("part"))
     sizes = materialize(found.groupBy("root", "part").agg(F.count("*").alias("n")), "parts")
     main = sizes.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    outside = found.join(main, "root").filter("part <> main").select("cid", F.lit(True).alias("outside"))
-    marked = large.join(outside, "cid", "left")
-    own = marked.select("root", home.alias("block"), "cid", F.coalesce("outside", F.lit(False)).alias("probe"), "shingles")
-    guests = marked.filter("outside").select("root", F.explode(all_blocks).alias("block"), home.alias("home"), "cid", F.col("outside").alias("probe"), "shingles")
-    guests = guests.filter("block <> home").select("root", "block", "cid", "probe", "shingles")
-    hosts = guests.select("root", "block").union(own.filter("probe").select("root", "block")).distinct()
+    outside = found.join(main, "root").filter("part <> main").select("root", "cid")
+    pieces = outside.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("pieces"))
+    outside = outside.join(F.broadcast(pieces), "root").select("cid", F.pmod(F.xxhash64("cid", F.lit(2)), F.col("pieces")).cast("int").alias("piece"))
+    # a row for each large cluster: small enough to send along
+    all_pieces = F.sequence(F.lit(0), F.col("pieces") - 1)
+    marked = large.join(F.broadcast(pieces), "root").join(outside, "cid", "left")
+    # every tile, a piece and a block, has what is outside as probes; a member of both comes once
+    guests = marked.filter("piece IS NOT NULL").select("root", F.explode(all_blocks).alias("block"), "piece", "cid", F.lit(True).alias("probe"), "shingles")
+    own = marked.select("root", home.alias("block"), F.explode(all_pieces).alias("tile"), F.col("piece").alias("own_piece"), "cid", no, "shingles")
+    own = own.filter("own_piece IS NULL OR own_piece <> tile")
+    number = F.shiftleft(F.col("block").cast("long"), 32)
+    own = own.select("root", (number + F.col("tile")).alias("block"), "cid", "probe", "shingles")
+    guests = guests.select("root", (number + F.col("piece")).alias("block"), "cid", "probe", "shingles")
     # written, so that the blocks are dealt out anew whatever partitioning the plan above has
-    again = materialize(own.unionByName(guests).join(hosts, ["root", "block"], "left_semi"), "again")
+    again = materialize(own.unionByName(guests), "again")
     second = _blocks(again, percent)
     whole = components(first.unionByName(second))
     alone = large.select(F.col("cid").alias("u"), F.col("cid").alias("v"))

@@ -25,10 +25,15 @@ MAX_RATED = 8000
 MIN_DOCUMENTS = 4
 GRADES = 3
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-_PLAIN = re.compile(r"\w?[^\W_]*[\w'’-]*[.,;:?)\"]*$").match
+_PLAIN = re.compile(r"[\w'’-]*+[.,;:?)\"]*+$").match  # possessive: linear in words of any length
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 #: Beginnings of words that are features besides the whole words.
 PREFIXES = (4, 6)
+#: Letter runs longer than this, or in a script without spaces, also give all their character n-grams.
+LONG_RUN, GRAMS = 40, (2, 4, 6)
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]").search
+#: Words that are longer or have more features are not remembered.
+KNOWN_LENGTH, KNOWN_PARTS = 200, 32
 MEMORY = 200_000
 
 
@@ -40,7 +45,7 @@ def _shape(word: str) -> str:
 
 
 class Features:
-    """Hashed features of texts: lower-cased letter runs and their beginnings (once per text) and shares of word shapes, repeats and symbols."""
+    """Hashed features of texts: lower-cased letter runs, their beginnings and the n-grams of glued ones (once per text) and shares of word shapes, repeats and symbols."""
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[list[int], int]] = {}
@@ -48,12 +53,17 @@ class Features:
     def word(self, word: str) -> tuple[list[int], int]:
         found = self.known.get(word)
         if found is None:
-            parts = {r[:k] for r in _LETTERS(word.lower()[:200]) for k in (*PREFIXES, 200)}
-            runs = [crc32(r.encode()) & ((1 << BITS) - 1) for r in parts]
-            found = runs, crc32(b"\0shape " + _shape(word[:200]).encode()) & ((1 << BITS) - 1)
+            runs = _LETTERS(word.lower())
+            parts = {r[:k] for r in runs for k in PREFIXES}.union(runs)
+            for r in runs:
+                if len(r) > LONG_RUN or _UNSPACED(r):
+                    parts.update(r[i : i + k] for k in GRAMS for i in range(len(r) - k + 1))
+            found = [crc32(r.encode()) & ((1 << BITS) - 1) for r in parts], crc32(b"\0shape " + _shape(word).encode()) & ((1 << BITS) - 1)
+            if len(word) > KNOWN_LENGTH or len(parts) > KNOWN_PARTS:
+                return found
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            self.known[word if len(word) <= 200 else word[:200]] = found
+            self.known[word] = found
         return found
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from revlake.llm.perplexity import ORDER, SYMBOLS, count_grams, kneser_ney, quality_rules
-from revlake.llm.quality import OrdinalModel, fit_quality, grade_documents, keep_good
+from revlake.llm.quality import Features, OrdinalModel, fit_quality, grade_documents, keep_good
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,6 +70,16 @@ def test_odd_rows_are_graded_and_kept_alike(make_docs, odd_pairs):
     assert keep_good(make_docs([]), model).count() == 0
 
 
+def test_words_are_features_at_any_place_of_a_glued_text():
+    features, glued = Features(), "abcdefgh" * 500
+    word = set(features.of("horrid")[0].tolist())
+    shapes = set(features.of(glued)[0].tolist())
+    assert word - shapes and word - shapes <= set(features.of(glued + "horrid" + glued)[0].tolist())
+    plain, bad = "今天天气很好我们去公园" * 40, "可恶至极"
+    assert len(set(features.of(plain + bad)[0]) - set(features.of(plain)[0])) >= 3
+    assert features.of("a" * 200)[0].tolist() != features.of("a" * 200 + "!!!b")[0].tolist()
+
+
 def brute_log_probabilities(texts):
     """ln P of every n-gram by the textbook formula, on plain dictionaries."""
     counts = Counter()

@@ -124,7 +124,52 @@ cut AS (
 SELECT doc_id, length(text) AS n_chars, length(rest) AS n_left, sha256(rest) AS text_sha256 FROM cut
 """
 
+HARD_NEGATIVES = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+_UNIT = "(CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+_SCORES = f"list_transform(range(0, {{}}), lambda k: {{{{'s': -1.0::DOUBLE / ln({_UNIT.format('coalesce(doc_id::VARCHAR, '') || chr(58) || k')}), 'k': -k}}}})"
+
+SHARDING = f"""
+WITH RECURSIVE crc(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+placed AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_max({_SCORES.format(40)}) AS own, list_max({_SCORES.format(41)}) AS grown
+  FROM documents
+), sized AS (
+  SELECT doc_id, hex(encode(text)) AS bytes, CAST(-own.k AS INTEGER) AS shard, CAST(-grown.k AS INTEGER) AS grown_shard, {_UNIT.format("coalesce(doc_id::VARCHAR, '')")} AS mixed FROM placed
+), summed AS (
+  SELECT doc_id, shard, grown_shard, mixed, CAST(length(bytes) // 2 + 16 AS BIGINT) AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(bytes), 2), lambda i: CAST('0x' || substr(bytes, i, 2) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM sized, crc_table
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY mixed, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM summed
+"""
+
 ORACLE: dict[str, str] = {
     "op6_near_duplicates": NEAR_DUPLICATES, "op7_decontamination": DECONTAMINATION, "op9_line_dedup": LINE_DEDUP,
     "op8_license_scans": LICENSE_SCANS, "op10_url_filters": URL_FILTERS,
+    "op11_sharding": SHARDING, "op12_hard_negatives": HARD_NEGATIVES,
 }

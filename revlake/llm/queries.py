@@ -12,18 +12,23 @@ from .chunks import repeated_spans
 from .contamination import find_leaks
 from .licenses import NOTICES, scan_licenses
 from .near_duplicates import near_duplicates
+from .negatives import hard_negatives
 from .perplexity import quality_rules
 from .pieces import encode_digests
 from .quality import fit_quality, grade_documents
+from .shards import assign_shards
 from .templates import line_report
 from .token_counts import count_tokens
 from .urls import filter_urls
+from .whitening import whiten
 
 URL_RULES = (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
     ("com/fr/", "allow"), ("com/de/", "block"),
 )
 
+SHARDS = 40
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -78,6 +83,19 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(_table(spark, folder, "pages"), rules)
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return assign_shards(_table(spark, folder, "documents"), [1.0] * SHARDS)
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -89,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_sharding": op11_sharding,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }

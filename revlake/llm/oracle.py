@@ -100,22 +100,42 @@ split AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambd
   trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS ls FROM docs),
 every AS (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS pos FROM split),
 lines AS (
-  SELECT doc_id, text, pos, ls[pos] AS m, string_split(ls[pos], ' ') AS toks,
-         coalesce(CASE WHEN pos > 1 THEN ls[pos - 1] END, chr(1)) || chr(2) || coalesce(ls[pos + 1], chr(1)) AS around
-  FROM every WHERE ls[pos] <> ''
-), leafed AS (SELECT *, len(toks) || chr(2) || array_to_string(toks[1:3], ' ') AS leaf FROM lines),
-crowded AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM leafed GROUP BY leaf HAVING count(*) >= 10)),
-kinds AS (SELECT leaf, m, any_value(toks) AS toks, count(*) AS n FROM crowded GROUP BY leaf, m),
-total AS (SELECT leaf, sum(n) AS total, max(len(toks)) AS places FROM kinds GROUP BY leaf HAVING count(*) > 1),
-each AS (SELECT leaf, m, n, unnest(range(1, len(toks) + 1)) AS place, unnest(toks) AS token FROM kinds),
-fixed AS (SELECT leaf, place, token FROM each JOIN total USING (leaf) GROUP BY leaf, place, token, total HAVING 2 * sum(n) > total),
-valid AS (SELECT leaf, count(*) AS fixed FROM fixed JOIN total USING (leaf) GROUP BY leaf, places HAVING count(*) * 100 >= places * 60),
+  SELECT doc_id, text, pos, ls[pos] AS m, string_split(ls[pos], ' ') AS toks, len(string_split(ls[pos], ' ')) AS size,
+         row_number() OVER w AS rank, sum(len(string_split(ls[pos], ' '))) OVER (PARTITION BY doc_id, text) AS total
+  FROM every WHERE ls[pos] <> '' WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)
+), leafed AS (SELECT *, size || chr(2) || array_to_string(toks[1:3], ' ') AS leaf FROM lines),
+kinds AS (SELECT leaf, m, any_value(toks) AS toks, count(*) AS n FROM leafed GROUP BY leaf, m),
+leaves AS (SELECT leaf, sum(n) AS total, max(len(toks)) AS places FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= 10),
+each AS (SELECT leaf, m, n, unnest(range(1, len(toks) + 1)) AS place, unnest(toks) AS token FROM kinds WHERE leaf IN (SELECT leaf FROM leaves)),
+fixed AS (SELECT leaf, place, token FROM each JOIN leaves USING (leaf) GROUP BY leaf, place, token, total HAVING 2 * sum(n) > total),
+valid AS (SELECT leaf, count(*) AS fixed FROM fixed JOIN leaves USING (leaf) GROUP BY leaf, places HAVING count(*) * 100 >= places * 60),
 fits AS (SELECT e.leaf, e.m FROM each e JOIN fixed f ON e.leaf = f.leaf AND e.place = f.place AND e.token = f.token
   JOIN valid v ON e.leaf = v.leaf GROUP BY e.leaf, e.m, v.fixed HAVING count(*) = v.fixed),
 found AS (SELECT c.*, CASE WHEN f.m IS NOT NULL THEN chr(3) || c.leaf ELSE c.m END AS template
-  FROM crowded c LEFT JOIN fits f ON c.leaf = f.leaf AND c.m = f.m),
-often AS (SELECT template, min(doc_id) AS first FROM found GROUP BY template HAVING count(DISTINCT around) >= 10),
-gone AS (SELECT doc_id, text, list(pos) AS gone FROM found JOIN often USING (template) WHERE doc_id <> first GROUP BY doc_id, text),
+  FROM leafed c LEFT JOIN fits f ON c.leaf = f.leaf AND c.m = f.m),
+often AS (SELECT template, min(md5(m)) AS mark FROM found GROUP BY template HAVING count(DISTINCT text) >= 10),
+places AS (SELECT DISTINCT text, rank, m, size, total, mark FROM found JOIN often USING (template)),
+numbered AS (SELECT *, rank - row_number() OVER (PARTITION BY text ORDER BY rank) AS run FROM places),
+runs AS (SELECT text, run, sum(size) AS size, max(total) AS total, min(mark) AS mark FROM numbered GROUP BY text, run),
+alike AS (
+  SELECT text, min(mark) AS copy FROM runs GROUP BY text
+  HAVING 100 * sum(greatest(size - 4, 0)) >= 80 * (2 * greatest(max(total) - 4, 1) - sum(greatest(size - 4, 0)))
+), own AS (
+  SELECT DISTINCT copy, text, unnest(toks) AS word FROM leafed l JOIN alike USING (text)
+  WHERE NOT EXISTS (SELECT 1 FROM places p WHERE p.text = l.text AND p.rank = l.rank)
+), frequent AS (
+  SELECT copy, word FROM own JOIN (SELECT copy, count(*) AS texts FROM alike GROUP BY copy) USING (copy)
+  GROUP BY copy, word, texts HAVING 2 * count(*) >= texts
+), common AS (
+  SELECT copy, word FROM frequent UNION SELECT copy, unnest(string_split(m, ' ')) FROM (SELECT DISTINCT copy, m FROM places JOIN alike USING (text))
+), other AS (
+  SELECT text FROM own LEFT JOIN common USING (copy, word) GROUP BY text HAVING 2 * count(common.word) <= count(*)
+), copies AS (SELECT text, copy FROM alike WHERE text NOT IN (SELECT text FROM other)),
+again AS (
+  SELECT template, coalesce(chr(1) || copy, chr(2) || f.text) AS kind, doc_id
+  FROM found f JOIN often USING (template) LEFT JOIN copies c ON f.text = c.text
+), dropped AS (SELECT template, min(doc_id) AS first FROM again GROUP BY template HAVING count(DISTINCT kind) >= 10),
+gone AS (SELECT doc_id, text, list(pos) AS gone FROM found JOIN dropped USING (template) WHERE doc_id <> first GROUP BY doc_id, text),
 cut AS (
   SELECT d.doc_id, d.text, CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_filter(
     string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS rest

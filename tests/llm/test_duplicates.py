@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -12,7 +13,7 @@ from revlake.llm.chunks import boundaries, cut_repeats, gear, repeated_spans, _G
 from revlake.llm.components import components
 from revlake.llm.contamination import decontaminate, find_leaks, item_sketches, shingle_rows
 from revlake.llm.near_duplicates import drop_near_duplicates, near_duplicates
-from revlake.llm.templates import drop_recurring_lines, recurring_lines
+from revlake.llm.templates import drop_recurring_lines, line_report, recurring_lines
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -144,6 +145,47 @@ def test_blocks_of_boilerplate_recur_by_documents(make_docs):
     assert all(left[k] == own[k] for k in range(1, 14))
 
 
+def _prose(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(3, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("own_words", [3, 40])
+def test_pages_lose_all_boilerplate_however_little_is_their_own(make_docs, own_words):
+    r = random.Random(own_words)
+    head = "home news sport culture weather\nsubscribe now and read all there is\nsearch this site for words"
+    foot = "about the makers of this site\nterms of use and privacy\nwrite to the editors at any time"
+    own = [_prose(r, own_words) for _ in range(26)]
+    docs = make_docs([(k, f"{head}\n{t}\n{foot}") for k, t in enumerate(own)])
+    left = {x.doc_id: x.text for x in drop_recurring_lines(docs).collect()}
+    assert left[0] == f"{head}\n{own[0]}\n{foot}" and all(left[k] == own[k] for k in range(1, 26))
+    report = {x.doc_id: x for x in line_report(docs).collect()}
+    assert all(report[k].n_left == len(own[k]) and report[k].n_chars > report[k].n_left for k in range(1, 26))
+    assert report[1].text_sha256 == hashlib.sha256(own[1].encode()).hexdigest()
+
+
+def test_navigation_of_many_words_is_dropped(make_docs):
+    """Nine tenths of a page recur, but what does not is no variant of a common line."""
+    r = random.Random(4)
+    nav = "\n".join(_prose(r, 12) for _ in range(20))
+    own = [_prose(r, 6) for _ in range(15)]
+    left = {x.doc_id: x.text for x in drop_recurring_lines(make_docs([(k, f"{nav}\n{t}") for k, t in enumerate(own)])).collect()}
+    assert all(left[k] == own[k] for k in range(1, 15))
+
+
+def test_edited_copies_of_a_story_keep_it(make_docs):
+    r = random.Random(9)
+    story = [_prose(r, 14) for _ in range(30)]
+    pairs = []
+    for k in range(20):
+        lines = list(story)
+        for at in r.sample(range(30), 2):
+            words = lines[at].split()
+            words[r.randrange(14)] = _prose(r, 1)
+            lines[at] = " ".join(words)
+        pairs.append((k, "\n".join(lines)))
+    assert {x.doc_id: x.text for x in drop_recurring_lines(make_docs(pairs)).collect()} == dict(pairs)
+
+
 def test_near_copies_keep_their_lines(make_docs):
     body = [f"{w} stands in a line that all the copies of one story have" for w in "anna bert carl dora emil fritz gerd hans ida jan".split()]
     pairs = [(k, "\n".join([*body, "copied by " + "abcdefghijklmn"[k] * 5])) for k in range(14)]

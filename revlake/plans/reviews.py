@@ -21,7 +21,9 @@ from ..operators.sentiment_model import Scorer, model_scorer, rule_scorer, selec
 from ..schemas import ANALYZED, KEY, PROCESSED, RAW
 from ..session import materialize
 from ..sources.landing import read_payload_pages
-from ..sources.payloads import contiguous_pages, open_pages, page_gaps, parse_reviews, route_platform
+from ..sources.payloads import (
+    contiguous_pages, in_range, merge_bounds, open_pages, page_bounds, page_gap_ranges, page_gaps, parse_reviews, route_platform,
+)
 from ..sources.tables import ReviewTables, newest_first
 from ..sources.wordlists import STOPWORDS_ZH, read_stopwords
 
@@ -117,38 +119,64 @@ def record_landing(parsed: DataFrame, tables: ReviewTables) -> None:
         tables.upsert("idless_reviews", idless.withColumn("review_id", F.concat_ws("/", place, "seq")))
 
 
-def missing_pages(tables: ReviewTables) -> DataFrame:
-    """Pages before the end of their product that have not landed in any form."""
+def known_pages(tables: ReviewTables) -> DataFrame:
+    """Pages that have landed in any form; ``n_items`` is null for broken ones."""
     page = ["platform", "product_id", "page"]
     broken = tables.read("quarantined_pages").filter("product_id IS NOT NULL AND page IS NOT NULL")
-    landed = tables.read("page_index").select(*page, "n_items").unionByName(
+    return tables.read("page_index").select(*page, "n_items").unionByName(
         broken.select(*page, F.lit(None).cast("int").alias("n_items"))
     )
-    return page_gaps(landed)
+
+
+def missing_pages(tables: ReviewTables) -> DataFrame:
+    """Pages before the end of their product that have not landed in any form."""
+    return page_gaps(known_pages(tables))
 
 
 def landing_report(tables: ReviewTables) -> DataFrame:
     """Number of quarantined pages, missing pages and reviews without an id by platform and product."""
-    kinds = {"quarantined": tables.read("quarantined_pages"), "missing": missing_pages(tables), "idless": tables.read("idless_reviews")}
-    rows = [df.select("platform", "product_id", F.lit(kind).alias("kind")) for kind, df in kinds.items()]
+    product = ["platform", "product_id"]
+    gaps = page_gap_ranges(known_pages(tables)).withColumn("n", (F.col("last_page") - F.col("first_page") + 1).cast("long"))
+    one = F.lit(1).cast("long").alias("n")
+    kinds = {
+        "quarantined": tables.read("quarantined_pages").select(*product, one),
+        "missing": gaps.select(*product, "n"),
+        "idless": tables.read("idless_reviews").select(*product, one),
+    }
+    rows = [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]
     every = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    counts = [F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds]
-    return every.groupBy("platform", "product_id").agg(*counts)
+    counts = [F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind) for kind in kinds]
+    return every.groupBy(*product).agg(*counts)
+
+
+def product_bounds(parsed: DataFrame, tables: ReviewTables) -> DataFrame:
+    """Bounds of the products in this batch from all batches so far, kept as the table ``product_pages``.
+
+    The pages of one product may land in different batches, so its first empty page can only be told from all of
+    them; the table has one row per product, so that no earlier page is read again.
+    """
+    own = materialize(page_bounds(in_range(parsed)), "bounds")
+    products = own.select("platform", F.col("product_id").alias("review_id"))
+    stored = tables.read_around("product_pages", products).join(own.select("platform", "product_id"), ["platform", "product_id"], "left_semi")
+    both = materialize(merge_bounds(own, stored), "bounds")
+    tables.upsert("product_pages", both.withColumn("review_id", F.col("product_id")), unique=True)
+    return both
 
 
 def ingest_parsed(
     parsed: DataFrame, tables: ReviewTables, *, incremental: bool = True,
-    max_pages: int | None = None, stored_index: bool = False,
+    max_pages: int | None = None, stored_pages: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Store the new reviews of parsed pages; returns the fetched and the fresh rows.
 
-    What does not become a review of its own is stored too, see ``record_landing``.
+    What does not become a review of its own is stored too, see ``record_landing``. Only those partitions of
+    the raw table are read that may hold a fetched id.
     """
     record_landing(parsed, tables)
-    # the pages of one product may land in different batches, so its first empty page can only be told from all of them
-    index = tables.read("page_index") if stored_index else None
-    fetched = contiguous_pages(parsed, max_pages, index).filter(F.col("seq").isNotNull()).drop("error", "payload")
-    fresh = materialize(fresh_reviews(fetched, tables.read("raw_reviews"), incremental), "fresh")
+    bounds = product_bounds(parsed, tables) if stored_pages else None
+    fetched = contiguous_pages(parsed, max_pages, bounds).filter(F.col("seq").isNotNull()).drop("error", "payload")
+    stored = tables.read_around("raw_reviews", fetched) if incremental else tables.read("raw_reviews")
+    fresh = materialize(fresh_reviews(fetched, stored, incremental), "fresh")
     tables.upsert("raw_reviews", fresh, batch_order())
     return fetched, fresh
 
@@ -188,25 +216,20 @@ def refine(
 ) -> DataFrame:
     """Process and analyze raw rows (default: all pending ones, or those of one platform or product) and store both layers.
 
-    Of given rows with one key the latest fetch counts.
-
-    The frames read fixed versions of the tables, so the selection stays the same while the
-    layers are written, and each layer is computed once.
+    Of given rows with one key the latest fetch counts. Each layer is computed once, stored in scratch
+    and handed on from there; returns the analyzed rows.
     """
     tables.init_tables()
-    stored = raw is None
-    rows = pending_raw(tables) if stored else latest_by_key(raw, KEY, newest_first(raw))
+    rows = pending_raw(tables) if raw is None else latest_by_key(raw, KEY, newest_first(raw))
     if platform:
         rows = rows.filter(F.col("platform") == platform)
     if product_id:
         rows = rows.filter(F.col("product_id") == product_id)
-    fetch = [*KEY, "fetched_at"]
-    chosen = rows.select(*fetch)
-    tables.upsert("processed_reviews", process_reviews(rows, options), unique=True)
-    processed = tables.read("processed_reviews").join(chosen, fetch, "left_semi")
-    tables.upsert("analyzed_reviews", analyze_reviews(processed, options), unique=True)
-    done = tables.read("analyzed_reviews").join(chosen, fetch, "left_semi")
-    return done.select(*ANALYZED.names)
+    processed = materialize(process_reviews(rows, options), "processed")
+    tables.upsert("processed_reviews", processed, unique=True)
+    analyzed = materialize(analyze_reviews(processed, options), "analyzed")
+    tables.upsert("analyzed_reviews", analyzed, unique=True)
+    return analyzed
 
 
 def run_reviews(
@@ -228,7 +251,7 @@ def load_landing(
     max_pages: int | None = None, options: TextOptions = TextOptions(),
 ) -> DataFrame:
     """Everything that has landed (or some products) through all layers in one job."""
-    tables = ReviewTables(spark, root, buckets=Settings.from_session(spark).buckets)
+    tables = ReviewTables(spark, root)
     tables.init_tables()
     pages = read_payload_pages(spark, landing_dir)
     if products:

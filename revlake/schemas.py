@@ -62,6 +62,11 @@ PAGE_INDEX = _struct(
     ("platform", _S, False), ("review_id", _S, False), ("product_id", _S, False),
     ("page", _I, False), ("n_items", _I, False), ("fetched_at", _TS, True),
 )
+#: What is known of a product's pages so far; ``review_id`` is the product.
+PRODUCT_PAGES = _struct(
+    ("platform", _S, False), ("review_id", _S, False), ("product_id", _S, False),
+    ("first_empty", _I, True), ("last_page", _I, True),
+)
 QUARANTINED = _struct(
     ("platform", _S, False), ("review_id", _S, False), ("product_id", _S, True),
     ("page", _I, True), ("error", _S, False), ("payload", _S, True), ("fetched_at", _TS, True),
@@ -71,4 +76,5 @@ IDLESS = T.StructType(RAW.fields + _struct(("page", _I, False), ("seq", _I, Fals
 TABLES = {
     "raw_reviews": RAW, "processed_reviews": PROCESSED, "analyzed_reviews": ANALYZED,
     "page_index": PAGE_INDEX, "quarantined_pages": QUARANTINED, "idless_reviews": IDLESS,
+    "product_pages": PRODUCT_PAGES,
 }

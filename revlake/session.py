@@ -45,6 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _on_disk(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, at = _on_disk(spark, path)
+    return store.exists(at)
+
+
+def make_path(spark: SparkSession, path: str) -> None:
+    store, at = _on_disk(spark, path)
+    store.mkdirs(at)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    store, at = _on_disk(spark, path)
+    store.delete(at, True)
+
+
 def widen(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows that are few in bytes but costly to expand over all shuffle partitions.
 
@@ -79,8 +99,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _scope.reset(token)
         for path in own:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -6,14 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.reviews import TextOptions, ingest_parsed, newest_in_batch, parse_landed, refine
-from ..schemas import TABLES
 from ..session import scratch_scope
 from ..sources.landing import stream_payload_pages
 from ..sources.tables import ReviewTables
 
-def stream_tables(spark: SparkSession, root: str, *, buckets: int = 64) -> ReviewTables:
-    return ReviewTables(spark, root, buckets=buckets, schemas=TABLES)
-
 
 def ingest_stream(
     spark: SparkSession,
@@ -42,7 +38,7 @@ def ingest_stream(
         with scratch_scope(spark):
             parsed = parse_landed(pages)
             _, fresh = ingest_parsed(
-                parsed, tables, incremental=incremental, max_pages=max_pages, stored_index=True,
+                parsed, tables, incremental=incremental, max_pages=max_pages, stored_pages=True,
             )
             if not healed:  # once per run: whatever an earlier run left unanalyzed
                 refine(tables, options=options)

@@ -16,7 +16,7 @@ from ..plans.reviews import TextOptions, analyze_reviews, ingest, load_landing,
 from ..session import scratch_path
 from ..sources import landing, payloads, wordlists
 from ..sources.tables import ReviewTables
-from ..streaming.ingest import ingest_stream, stream_tables
+from ..streaming.ingest import ingest_stream
 from .tables import (
     LEXICON, STOPWORDS, landed_pages, load, raw_rows, reviews, scored, spread, tokenized, with_tokens,
 )
@@ -60,7 +60,7 @@ def _damaged(spark: SparkSession, sf: str) -> ReviewTables:
     )
     path = scratch_path(spark, "landing")
     pages.filter(number % 7 != 6).select("location", body.alias("body")).write.partitionBy("location").text(path)
-    tables = ReviewTables(spark, scratch_path(spark, "damaged"), buckets=8)
+    tables = ReviewTables(spark, scratch_path(spark, "damaged"))
     ingest(spark, path, tables)
     return tables
 
@@ -429,7 +429,7 @@ def _raw(spark: SparkSession, sf: str, df: DataFrame | None = None, day: int = 1
 
 
 def _store(spark: SparkSession) -> ReviewTables:
-    tables = ReviewTables(spark, scratch_path(spark, "store"), buckets=8)
+    tables = ReviewTables(spark, scratch_path(spark, "store"))
     tables.init_tables()
     return tables
 
@@ -513,18 +513,21 @@ def run_summary(spark, sf):
     return marts.run_summary(docs, joins.fresh_reviews(docs, stored), analyzed)
 
 
-@query
-def retain_raw(spark, sf):
-    tables = _stored_raw(spark, sf)
-    good = load(spark, sf, "labels").filter("quality = 1").select("doc_id")
-    done = scored(spark, sf).join(good, "doc_id", "left_semi").select(
+def _as_analyzed(df: DataFrame) -> DataFrame:
+    return df.select(
         "platform", "review_id", "product_id", "rating", "text", "clean_text",
         F.array().cast("array<string>").alias("tokens"), F.col("lang").alias("language"),
         F.lit(None).cast("timestamp_ntz").alias("created_at"),
         F.lit("2024-01-02 00:00:00").cast("timestamp_ntz").alias("fetched_at"),
         "sentiment_label", "sentiment_score", F.array().cast("array<string>").alias("keywords"),
     )
-    tables.upsert("analyzed_reviews", done)
+
+
+@query
+def retain_raw(spark, sf):
+    tables = _stored_raw(spark, sf)
+    good = load(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    tables.upsert("analyzed_reviews", _as_analyzed(scored(spark, sf).join(good, "doc_id", "left_semi")))
     tables.retain_raw(F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
     return tables.read("raw_reviews").select("platform", "review_id", "user_level")
 
@@ -541,7 +544,7 @@ def _analyzed(df: DataFrame) -> DataFrame:
 def incremental_ingest(spark, sf):
     path = _land(spark, sf)
     store, progress = scratch_path(spark, "stream"), scratch_path(spark, "progress")
-    tables = stream_tables(spark, store, buckets=8)
+    tables = ReviewTables(spark, store)
     for _ in range(2):  # the second run finds nothing new
         ingest_stream(spark, path, tables, progress, max_pages=None).awaitTermination()
     return tables.read("raw_reviews").select(
@@ -551,7 +554,7 @@ def incremental_ingest(spark, sf):
 
 @query
 def analyzed_stream(spark, sf):
-    tables = stream_tables(spark, scratch_path(spark, "stream"), buckets=8)
+    tables = ReviewTables(spark, scratch_path(spark, "stream"))
     ingest_stream(
         spark, _land(spark, sf), tables, scratch_path(spark, "progress"),
         max_pages=None, analyze=True, options=OPTIONS,
@@ -686,7 +689,9 @@ def _rolled(df: DataFrame) -> DataFrame:
 
 @query
 def list_analyzed(spark, sf):
-    return _analyzed(marts.filter_reviews(scored(spark, sf), "jd", ""))
+    tables = _store(spark)
+    tables.upsert("analyzed_reviews", _as_analyzed(scored(spark, sf)), unique=True)
+    return _analyzed(tables.list_analyzed("jd", ""))
 
 
 @query

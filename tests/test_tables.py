@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ def raw(spark, data):
     return spark.createDataFrame(full, RAW)
 
 
-def store(spark, path, buckets=4):
-    tables = ReviewTables(spark, str(path), buckets=buckets)
+def store(spark, path):
+    tables = ReviewTables(spark, str(path))
     tables.init_tables()
     return tables
 
@@ -65,29 +66,64 @@ def test_last_fetch_wins_inside_a_batch_and_splits_commute(spark, tmp_path):
     assert rows(one.read("raw_reviews")) == rows(two.read("raw_reviews"))
 
 
-def test_uncommitted_versions_are_invisible(spark, tmp_path):
+def dated(spark, data):
+    """Rows from (review_id, created month or None, rating)."""
+    full = [("jd", r, "p", rating, f"text {r}", m and datetime(2024, m, 3), None, None, None, "{}", DAY) for r, m, rating in data]
+    return spark.createDataFrame(full, RAW)
+
+
+def files(tables, part="data"):
+    return {str(f): f.stat().st_mtime_ns for f in (Path(tables.root) / "raw_reviews" / part).rglob("*.parquet")}
+
+
+def test_untouched_partitions_keep_their_files(spark, tmp_path):
+    tables = store(spark, tmp_path)
+    tables.upsert("raw_reviews", dated(spark, [("a", 1, 1), ("b", 1, 1), ("c", 2, 1), ("d", None, 1)]))
+    before = files(tables)
+    tables.upsert("raw_reviews", dated(spark, [("c", 2, 5), ("e", 2, 5), ("f", 3, 5)]))
+    after = files(tables)
+    assert {f for f in before if f in after and before[f] == after[f]} == {f for f in before if "month=2024-02" not in f}
+    assert rows(tables.read("raw_reviews"), "review_id", "rating") == [("a", 1), ("b", 1), ("c", 5), ("d", 1), ("e", 5), ("f", 5)]
+    before = after
+    tables.upsert("raw_reviews", dated(spark, [("g", 1, 2)]))  # only new keys: nothing is rewritten
+    assert before.items() <= files(tables).items()
+
+
+def test_a_key_moves_with_its_month(spark, tmp_path):
+    tables = store(spark, tmp_path)
+    tables.upsert("raw_reviews", dated(spark, [("a", 1, 1), ("b", 2, 1), ("c", 2, 1)]))
+    tables.upsert("raw_reviews", dated(spark, [("a", 2, 3), ("c", 4, 3)]))
+    assert rows(tables.read("raw_reviews"), "review_id", "rating") == [("a", 3), ("b", 1), ("c", 3)]
+    assert not any("month=2024-01" in f for f in files(tables))  # a partition that lost its only row is gone
+    assert not any("month=2024-01" in f for f in files(tables, "seen"))
+
+
+def test_only_partitions_that_may_hold_a_key_are_read(spark, tmp_path):
+    tables = store(spark, tmp_path)
+    for month in range(1, 7):  # filters of one partition add up over appends
+        for part in range(2):
+            tables.upsert("raw_reviews", dated(spark, [(f"{month}-{part}-{i}", month, 1) for i in range(40)]))
+    asked = spark.createDataFrame([("jd", "3-0-7"), ("jd", "5-1-9"), ("jd", "none"), ("tmall", "1-0-1")], "platform string, review_id string")
+    assert tables.may_hold("raw_reviews", asked) == ["jd/2024-03", "jd/2024-05"]
+    read = tables.read_around("raw_reviews", asked)
+    assert read.count() == 160
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [concat_ws(/, platform" in plan
+    everything = tables.read("raw_reviews").select(*KEY)
+    assert len(tables.may_hold("raw_reviews", everything)) == 6
+    assert tables.may_hold("raw_reviews", asked.limit(0)) == [] and tables.read_around("raw_reviews", asked.limit(0)).count() == 0
+
+
+def test_a_batch_given_again_changes_nothing(spark, tmp_path):
+    tables = store(spark, tmp_path)
+    first, second = dated(spark, [("a", 1, 1), ("b", 1, 1)]), dated(spark, [("a", 2, 2), ("c", 1, 2)])
+    for batch in (first, second, second, second):
+        tables.upsert("raw_reviews", batch)
+    assert rows(tables.read("raw_reviews"), "review_id", "rating") == [("a", 2), ("b", 1), ("c", 2)]
+
+
+def test_retention(spark, tmp_path):
     tables = store(spark, tmp_path)
-    tables.upsert("raw_reviews", raw(spark, [("jd", "a", "p", 1, 0)]))
-    leaf = tmp_path / "raw_reviews" / "buckets=4" / "version=9" / "kind=replace" / "platform=jd" / "bucket=0"
-    leaf.mkdir(parents=True)
-    assert tables.read("raw_reviews").count() == 1
-    snapshot = tables.read("raw_reviews")
-    tables.upsert("raw_reviews", raw(spark, [("jd", "a", "p", 2, 1), ("jd", "b", "p", 2, 1)]))
-    assert rows(snapshot, "rating") == [(1,)]
-    assert tables.read("raw_reviews").count() == 2
-
-
-def test_bucket_count_is_fixed(spark, tmp_path):
-    store(spark, tmp_path)
-    try:
-        store(spark, tmp_path, buckets=8)
-    except ValueError:
-        return
-    raise AssertionError("another bucket count must be refused")
-
-
-def test_retention_and_compaction(spark, tmp_path):
-    tables = store(spark, tmp_path, buckets=2)
     tables.upsert("raw_reviews", raw(spark, [("jd", f"r{i}", "p", 1, i % 2) for i in range(8)]))
     tables.upsert("raw_reviews", raw(spark, [("jd", f"s{i}", "p", 1, 5) for i in range(4)]))
     done = tables.read("raw_reviews").filter("review_id <> 'r0'").select(
@@ -104,12 +140,6 @@ def test_retention_and_compaction(spark, tmp_path):
     left = {r.review_id for r in tables.read("raw_reviews").collect()}
     assert left == {"r0", "r1", "r3", "r5", "r7", "s0", "s1", "s2", "s3"}
     assert tables.retain_raw(cut) == 0
-    before = rows(tables.read("raw_reviews"))
-    tables.upsert("raw_reviews", raw(spark, [("jd", "t1", "p", 1, 9), ("jd", "t2", "p", 1, 9), ("jd", "t3", "p", 1, 9)]))
-    tables.compact("raw_reviews", leaves=1)
-    assert len(rows(tables.read("raw_reviews"))) == len(before) + 3
-    assert tables.vacuum("raw_reviews") > 0 and tables.vacuum("raw_reviews") == 0
-    assert len(rows(tables.read("raw_reviews"))) == len(before) + 3
 
 
 def test_platform_filter_prunes_folders(spark, tmp_path):

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from .coerce import NON_WS
+from .lattice import Trie, longest
 
 # Outside the dictionary: one Han character, a run of other letters and digits, or one mark.
 _HAN = r"\p{IsHan}"
@@ -15,7 +17,7 @@ _RUN = r"[\p{L}\p{N}&&[^\p{IsHan}]]+"
 _MARK = NON_WS
 FALLBACK_PATTERN = rf"{_HAN}|{_RUN}|{_MARK}"
 
-# A pattern of more terms gets slow; operators.dictionary.tokenize_with_dictionary has no limit.
+# More terms are looked up in a trie instead of tried by a pattern, with the same result.
 INLINE_TERMS = 5000
 
 Tokenizer = Callable[[Column], Column]
@@ -37,8 +39,6 @@ def token_pattern(terms: Iterable[str] = ()) -> str:
     can start there.
     """
     words = {t for t in terms if t}
-    if len(words) > INLINE_TERMS:
-        raise ValueError(f"{len(words)} terms: use tokenize_with_dictionary")
     rests: dict[str, list[str]] = {}
     for term in sorted(words, key=lambda t: (-len(t), t)):
         rests.setdefault(term[0], []).append(re.escape(term[1:]))
@@ -46,39 +46,24 @@ def token_pattern(terms: Iterable[str] = ()) -> str:
     return "|".join([*groups, FALLBACK_PATTERN])
 
 
-def row_pattern(terms: Column) -> Column:
-    """The same pattern from an array of the row's own terms."""
-    keyed = F.transform(
-        terms,
-        lambda t: F.struct(
-            F.substring(t, 1, 1).alias("first"), (-F.char_length(t)).alias("size"),
-            # a term's own end mark would end the quoting
-            F.replace(F.substring(t, F.lit(2), F.char_length(t)), F.lit("\\E"), F.lit("\\E\\\\E\\Q")).alias("rest"),
-        ),
-    )
-    groups = runs_of(
-        keyed,
-        lambda x: x["first"],
-        lambda ordered, at, n: F.concat(
-            F.lit("\\Q"), F.get(ordered, at)["first"], F.lit("\\E(?:"),
-            F.array_join(
-                F.transform(
-                    F.slice(ordered, at + 1, n),
-                    lambda x: F.concat(F.lit("\\Q"), x["rest"], F.lit("\\E")),
-                ),
-                "|",
-            ),
-            F.lit(")"),
-        ),
-    )
-    return F.array_join(F.concat(groups, F.array(F.lit(FALLBACK_PATTERN))), "|")
-
-
 def segment(text: Column, pattern: str | Column) -> Column:
     pattern = F.lit("(?U)" + pattern) if isinstance(pattern, str) else pattern
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), pattern, F.lit(0))
 
 
+def segment_words(text: Column, terms: Iterable[str]) -> Column:
+    """Longest dictionary term first, then the fallback, for any number of terms."""
+    words = sorted({t for t in terms if t})
+    if len(words) <= INLINE_TERMS:
+        return segment(text, token_pattern(words))
+    trie = Trie.build(words, [0] * len(words))
+
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array(longest(texts.fill_null("").to_pylist(), trie), pa.list_(pa.string()))
+
+    return F.arrow_udf(cut, "array<string>")(text)
+
+
 def remove_stopwords(tokens: Column, stopwords: Iterable[str]) -> Column:
     """Keep order and duplicates. Up to a few hundred words ``IN`` is a hash-set probe."""
     words = sorted(set(stopwords))
@@ -89,7 +74,7 @@ def remove_stopwords(tokens: Column, stopwords: Iterable[str]) -> Column:
 
 def tokenize(text: Column, *, terms: Iterable[str] = (), stopwords: Iterable[str] = ()) -> Column:
     """Dictionary longest match. Marks and single characters stay; case is kept."""
-    return remove_stopwords(segment(text, token_pattern(terms)), stopwords)
+    return remove_stopwords(segment_words(text, terms), stopwords)
 
 
 def tokenizer(*, terms: Iterable[str] = (), stopwords: Iterable[str] = ()) -> Tokenizer:

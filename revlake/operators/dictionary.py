@@ -1,12 +1,10 @@
-"""Learn a word list from the corpus, and tokenise with lists too long for one pattern."""
+"""Learn a word list from the corpus."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.tokens import let, remove_stopwords, row_pattern, segment
+from ..functions.tokens import let
 from ..session import materialize, widen
 from .rows import unfold
 
@@ -98,38 +96,3 @@ def learn_dictionary(
         .filter(F.least("left_entropy", "right_entropy") >= min_entropy)
         .select(F.col("gram").alias("term"), "n", "pmi", "left_entropy", "right_entropy")
     )
-
-
-def tokenize_with_dictionary(
-    docs: DataFrame,
-    key: Sequence[str],
-    dictionary: DataFrame,
-    *,
-    text: str = "clean_text",
-    stopwords: Sequence[str] = (),
-    tokens: str = "tokens",
-) -> DataFrame:
-    """``docs`` plus ``tokens`` by longest match over a dictionary table of any size.
-
-    Terms are looked up by their first two characters, so a text contributes one row per
-    distinct character pair, however long it is. The terms found in a text form that row's
-    own pattern, so the result equals the inline form. ``key`` must be unique.
-    """
-    heads = F.array_distinct(
-        F.concat(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)) for p in (r"(?s)(.)", r"(?s)(?=(..))")])
-    )
-    words = dictionary.select("term").distinct().filter(F.char_length("term") > 0)
-    found = (
-        unfold(docs, key, heads, "_head")
-        .join(words.withColumn("_head", F.substring("term", 1, 2)), "_head")
-        .groupBy(*key)
-        .agg(F.collect_list("term").alias("_terms"))
-    )
-    present = F.filter("_terms", lambda t: F.contains(F.col(text), t))
-    terms = F.coalesce(present, F.array().cast("array<string>"))
-    pattern = F.concat(F.lit("(?U)"), row_pattern(terms))
-    return (
-        docs.join(found, list(key), "left")
-        .withColumn(tokens, remove_stopwords(segment(F.col(text), pattern), stopwords))
-        .drop("_terms")
-    )

@@ -1,11 +1,9 @@
-"""Per-review and corpus keywords: TextRank, document frequency, TF-IDF, LDA topics."""
+"""Per-review and corpus keywords: TextRank, document frequency, TF-IDF."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tokens import Tokenizer, let, term_counts, term_positions, tokenize
@@ -20,7 +18,6 @@ DAMPING = 0.85
 ROUNDS = 10
 MIN_DF = 1
 MAX_DF = 0.95
-LDA_SEED = 42
 # Scores are compared in millionths: plain arithmetic, where round() would go through decimals.
 SCORE_UNIT = 1_000_000
 
@@ -216,53 +213,3 @@ def tfidf_keywords(
     scores = unit.groupBy(*by, "term").agg(F.round(F.sum("u"), 6).alias("score"))
     best = top_n_per_group(scores, by, [F.desc("score"), F.asc("term")], top_n)
     return best.select(*by, "rank", "term", "score")
-
-
-def lda_topics(
-    docs: DataFrame,
-    *,
-    tokens: str = "tokens",
-    n_topics: int = 5,
-    top_n: int = 8,
-    max_iter: int = 10,
-    max_vocabulary: int = 2_000_000,
-) -> DataFrame:
-    """``(topic, rank, term, weight)``; at most one topic per document.
-
-    The topic matrix of the estimator is topics x vocabulary on the driver, so the size of
-    the vocabulary is checked first instead of being cut.
-    """
-    spark = docs.sparkSession
-    schema = "topic int, rank int, term string, weight double"
-    n_docs = docs.count()
-    k = min(n_topics, n_docs) or 1
-    terms = unfold(docs, [], F.array_distinct(tokens), "term")
-    bounds = terms.groupBy("term").agg(F.count("*").alias("df"))
-    kept = bounds.filter((F.col("df") >= MIN_DF) & (F.col("df") <= MAX_DF * n_docs))
-    size = kept.count()
-    if not size:
-        return spark.createDataFrame([], schema)
-    if size > max_vocabulary:
-        raise ValueError(f"{size} terms exceed max_vocabulary={max_vocabulary}; raise it or prune")
-    if k == 1:
-        weights = unfold(docs, [], tokens, "term").join(kept, "term")
-        counts = weights.groupBy("term").agg(F.count("*").alias("n"))
-        total = counts.agg(F.sum("n")).scalar()
-        ranked = top_n_per_group(
-            counts.select(F.lit(0).alias("topic"), "term", (F.col("n") / total).alias("weight")),
-            ["topic"], [F.desc("weight"), F.asc("term")], top_n,
-        )
-        return ranked.select("topic", "rank", "term", "weight")
-    # the estimator keeps the words on the driver in any case; sorted, so that runs agree
-    words = [r.term for r in kept.orderBy(F.desc("df"), "term").select("term").toLocalIterator()]
-    model = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="features")
-    lda = LDA(k=k, seed=LDA_SEED, maxIter=max_iter, featuresCol="features", optimizer="online")
-    # stored, because every iteration reads it
-    features = materialize(model.transform(docs).select("features"), "features")
-    topics = lda.fit(features).describeTopics(top_n)
-    rows = [  # k * top_n entries
-        (t.topic, i + 1, words[at], float(weight))
-        for t in topics.collect()
-        for i, (at, weight) in enumerate(zip(t.termIndices, t.termWeights))
-    ]
-    return spark.createDataFrame(rows, schema)

@@ -22,7 +22,3 @@ def top_n_per_group(
 def latest_by_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order`` (newest first gives last-wins)."""
     return top_n_per_group(df, key, order, 1, "_rank").drop("_rank")
-
-
-def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    return df.orderBy(*order).limit(k)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import Settings
 from ..functions.clean import clean_review_text
 from ..functions.sentiment import SHIPPED, Lexicon
-from ..functions.tokens import Tokenizer, remove_stopwords, segment, token_pattern
+from ..functions.tokens import Tokenizer, remove_stopwords, segment_words
 from ..operators.joins import fresh_reviews
 from ..operators.keywords import textrank
 from ..operators.language import UNKNOWN, LanguageModel, detect_language, script_language
@@ -44,7 +44,7 @@ class TextOptions:
         if self.segmenter:
             return self.segmenter(text)
         words = {*self.terms, *self.stopwords, *self.lexicon.positive, *self.lexicon.negative}
-        return segment(text, token_pattern(words))
+        return segment_words(text, words)
 
     @classmethod
     def from_settings(cls, spark: SparkSession, settings: Settings, **more) -> TextOptions:

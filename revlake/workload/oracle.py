@@ -57,9 +57,9 @@ ANALYZED = """platform, product_id, review_id, rating, sentiment_label,
        round(score, 6) AS sentiment_score, md5(text) AS clean_md5"""
 
 
-def _tokens(source: str = "reviews", key: str = "review_id", text: str = "text") -> str:
+def _tokens(source: str = "reviews", key: str = "review_id", text: str = "text", pattern: str = PATTERN) -> str:
     """``words(key..., pos, term)`` with all tokens."""
-    return f"""lists AS (SELECT *, regexp_extract_all({text}, '{PATTERN}') AS list FROM {source}),
+    return f"""lists AS (SELECT *, regexp_extract_all({text}, '{pattern}') AS list FROM {source}),
 words AS (SELECT * EXCLUDE (list), unnest(list) AS term, generate_subscripts(list, 1) AS pos FROM lists)"""
 
 
@@ -115,10 +115,10 @@ def _clean(expr: str) -> str:
     return _tidy(_squeeze(rf"regexp_replace({expr}, 'https?://\S+', '', 'g')"))
 
 
-def _textrank(source: str = "reviews", key: str = "review_id") -> str:
+def _textrank(source: str = "reviews", key: str = "review_id", **tokens: str) -> str:
     """CTEs ending in ``textrank(key, rank, term, score)`` over all words of ``source``."""
     ctes = [
-        _tokens(source, key),
+        _tokens(source, key, **tokens),
         f"""cands AS (SELECT {key}, pos, term FROM words
               WHERE length(term) >= 2 AND term NOT IN ({_in(STOPWORDS)}))""",
         f"""near AS (SELECT a.{key}, a.term AS x, b.term AS y FROM cands a JOIN cands b
@@ -160,6 +160,34 @@ ranked AS (SELECT *, CAST(row_number() OVER ({over} ORDER BY score DESC, term) A
 SELECT {group}rank, term, score FROM ranked WHERE rank <= {top_n}"""
 
 
+def _topics(k: int = 5, rounds: int = 10, top_n: int = 8) -> str:
+    """Topic shares of every (document, term), round after round."""
+    prior, even, each = 1.0 / k, 0.1 / k, range(k)
+    ctes = [
+        REVIEWS, _tokens(), KEPT,
+        "tf AS (SELECT review_id, term, CAST(count(*) AS DOUBLE) AS tf FROM kept GROUP BY ALL)",
+        "vocab AS (SELECT term FROM tf GROUP BY term HAVING count(*) <= 0.95 * (SELECT count(*) FROM reviews))",
+        "v AS (SELECT count(*) AS v FROM vocab)",
+        f"""s0 AS MATERIALIZED (SELECT review_id, term, tf, {', '.join(f'CASE WHEN own = {j} THEN {0.9 + even!r}::DOUBLE ELSE {even!r}::DOUBLE END AS p{j}' for j in each)}
+  FROM (SELECT *, CAST('0x' || substr(md5(review_id || '|' || term), 1, 8) AS BIGINT) % {k} AS own FROM tf SEMI JOIN vocab USING (term)))""",
+    ]
+    for i in range(rounds):
+        sums = lambda over, name: ", ".join(f"sum(tf * p{j}) OVER ({over}) AS {name}{j}" for j in each)
+        up = ", ".join(f"(d{j} - p{j} + {prior!r}::DOUBLE) * (w{j} - p{j} + {prior!r}::DOUBLE) / (t{j} - p{j} + v * {prior!r}::DOUBLE) AS u{j}" for j in each)
+        whole = " + ".join(f"u{j}" for j in each)
+        ctes.append(
+            f"""s{i + 1} AS MATERIALIZED (SELECT review_id, term, tf, {', '.join(f'u{j} / ({whole}) AS p{j}' for j in each)} FROM (
+  SELECT review_id, term, tf, {up} FROM (SELECT *, {sums('PARTITION BY review_id', 'd')}, {sums('PARTITION BY term', 'w')}, {sums('', 't')} FROM s{i}) CROSS JOIN v))"""
+        )
+    parts = " UNION ALL ".join(
+        f"SELECT {j} AS topic, term, round((sum(tf * p{j}) + {prior!r}::DOUBLE) / ((SELECT sum(tf * p{j}) FROM s{rounds}) + any_value(v) * {prior!r}::DOUBLE), 6) AS weight FROM s{rounds} CROSS JOIN v GROUP BY term"
+        for j in each
+    )
+    return f"""WITH {', '.join(ctes)}, weights AS ({parts})
+SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS INTEGER) AS rank, term, weight FROM weights
+QUALIFY rank <= {top_n}"""
+
+
 def _lists(by: str, source: str, where: str = "TRUE") -> str:
     """Strengths, complaints and top terms from ``source(by..., sentiment_label, term)``."""
     return f"""poles AS (SELECT {by}, term, count(*) FILTER (sentiment_label = 'positive') AS pos,
@@ -229,7 +257,7 @@ likelihood AS (SELECT doc_id, tag, round(coalesce(gain, 0) - n * log_total, 6) A
                FROM sizes CROSS JOIN totals LEFT JOIN gains USING (doc_id, tag))"""
 
 DICTIONARY = r"""runs AS (SELECT run, count(*) AS n FROM
-           (SELECT unnest(regexp_extract_all(text, '\p{Ll}+')) AS run FROM documents) GROUP BY ALL),
+           (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS run FROM documents) GROUP BY ALL),
 spots AS (SELECT n, string_split(run, '') AS c, run FROM runs),
 starts AS (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM spots),
 grams AS (SELECT n, array_to_string(c[i:i + k - 1], '') AS gram, k,
@@ -248,6 +276,103 @@ le AS (SELECT gram, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS e
 re AS (SELECT gram, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS e
        FROM (SELECT gram, r, sum(n) AS n FROM grams GROUP BY ALL) GROUP BY ALL)"""
 
+LEARNED = f"""{DICTIONARY},
+learned AS (SELECT pmi.gram AS term, CAST(pmi.n AS BIGINT) AS n, pmi, le.e AS l, re.e AS r
+  FROM pmi JOIN le USING (gram) JOIN re USING (gram) WHERE pmi >= 1.0 AND least(le.e, re.e) >= 0.5)"""
+
+
+def _price(share: str) -> str:
+    return f"CAST(round(-ln({share}) * 1000000) AS BIGINT)"
+
+
+# The words of every run: cheapest path from its end, then the words from its start.
+LATTICE = rf"""{LEARNED},
+sums AS (SELECT CAST(sum(n) AS DOUBLE) AS t, {_price('1 / CAST(sum(n) AS DOUBLE)')} AS unknown FROM learned),
+costs AS (SELECT term, length(term) AS k, {_price('n / t')} AS cost FROM learned CROSS JOIN sums),
+lruns AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS run FROM documents) GROUP BY run),
+place AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM lruns),
+hits AS (SELECT a.run, a.i, list({{'k': c.k, 'c': c.cost}}) AS es FROM (SELECT run, i, unnest(range(1, 5)) AS k FROM place) a
+  JOIN costs c ON c.k = a.k AND c.term = substr(a.run, a.i, a.k) WHERE a.i + a.k - 1 <= length(a.run) GROUP BY ALL),
+steps AS (SELECT a.run, a.i, list_append(coalesce(es, []), {{'k': CAST(1 AS BIGINT), 'c': unknown}}) AS es
+  FROM place a CROSS JOIN sums LEFT JOIN hits h ON h.run = a.run AND h.i = a.i),
+route(run, i, costs, lens) AS (
+  SELECT run, length(run) + 1, [CAST(0 AS BIGINT)], CAST([] AS BIGINT[]) FROM lruns
+  UNION ALL
+  SELECT run, i - 1, list_prepend(best.c, costs), list_prepend(-best.k, lens) FROM (
+    SELECT r.run, r.i, r.costs, r.lens, list_min(list_transform(s.es, lambda e: {{'c': e.c + r.costs[e.k], 'k': -e.k}})) AS best
+    FROM route r JOIN steps s ON s.run = r.run AND s.i = r.i - 1)),
+walk(run, lens, i, words) AS (
+  SELECT run, lens, CAST(1 AS BIGINT), CAST([] AS VARCHAR[]) FROM route WHERE i = 1
+  UNION ALL
+  SELECT run, lens, i + lens[i], list_append(words, substr(run, i, lens[i])) FROM walk WHERE i <= length(run)),
+cut AS (SELECT run, words FROM walk WHERE i > length(run))"""
+
+# Stretches of single characters, cut by the cheapest tags.
+UNKNOWN = rf"""{LATTICE},
+segs AS (SELECT run, n, array_to_string(list_transform(words, lambda w: CASE WHEN length(w) = 1 THEN 'S'
+  ELSE 'B' || repeat('M', length(w) - 2) || 'E' END), '') AS tags FROM cut JOIN lruns USING (run)),
+tagged AS (SELECT substr(tags, i, 1) AS tag, CASE WHEN i > 1 THEN substr(tags, i - 1, 1) ELSE '' END AS before, substr(run, i, 1) AS char, n
+  FROM segs JOIN place USING (run)),
+kinds AS (SELECT count(DISTINCT char) AS kinds FROM tagged),
+tags(tag, j) AS (VALUES ('B', 1), ('M', 2), ('E', 3), ('S', 4)),
+sizes AS (SELECT tag, j, coalesce(sum(n), 0) AS size FROM tags LEFT JOIN tagged USING (tag) GROUP BY ALL),
+met AS (SELECT tag, char, sum(n) AS n FROM tagged GROUP BY ALL),
+chars AS (SELECT char, list({_price('(coalesce(n, 0) + 1) / CAST(size + kinds + 1 AS DOUBLE)')} ORDER BY j) AS es
+  FROM (SELECT DISTINCT char FROM met) CROSS JOIN sizes CROSS JOIN kinds LEFT JOIN met USING (tag, char) GROUP BY char),
+allowed(before, tag, j) AS (VALUES ('', 'B', 1), ('', 'S', 4), ('B', 'M', 2), ('B', 'E', 3), ('M', 'M', 2), ('M', 'E', 3),
+  ('E', 'B', 1), ('E', 'S', 4), ('S', 'B', 1), ('S', 'S', 4)),
+moves AS (SELECT before, tag, j, coalesce(sum(n), 0) AS n FROM allowed LEFT JOIN tagged USING (before, tag) GROUP BY ALL),
+priced AS (SELECT before, j, {_price('(n + 1) / CAST(sum(n) OVER (PARTITION BY before) + 2 AS DOUBLE)')} AS c FROM moves),
+grid AS (SELECT b.tag AS before, b.i, t.j, coalesce(c, 1125899906842624) AS c
+  FROM (SELECT '' AS tag, 0 AS i UNION ALL SELECT tag, j FROM tags) b CROSS JOIN tags t LEFT JOIN priced p ON p.before = b.tag AND p.j = t.j),
+model AS (SELECT list(c ORDER BY i, j) AS a FROM grid),
+items AS (SELECT run, word, pos, length(word) = 1 AS single FROM (SELECT run, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM cut)),
+isles AS (SELECT run, min(pos) AS pos, string_agg(word, '' ORDER BY pos) AS s, single FROM (SELECT *, CASE WHEN single
+  THEN pos - row_number() OVER (PARTITION BY run, single ORDER BY pos) ELSE -pos END AS isle FROM items) GROUP BY run, single, isle),
+asked AS (SELECT DISTINCT s FROM isles WHERE single AND length(s) > 1),
+vit(s, i, c, p) AS (
+  SELECT s, CAST(1 AS BIGINT), list_transform(range(1, 5), lambda j: a[j] + es[j]), ['B', 'M', 'E', 'S']
+  FROM asked JOIN chars ON char = substr(s, 1, 1) CROSS JOIN model
+  UNION ALL
+  SELECT s, i + 1, list_transform(range(1, 5), lambda j: best[j].c + es[j]),
+    list_transform(range(1, 5), lambda j: p[best[j].i] || substr('BMES', j, 1))
+  FROM (SELECT v.s, v.i, v.p, es, list_transform(range(1, 5), lambda j:
+      list_min(list_transform(range(1, 5), lambda i: {{'c': v.c[i] + a[4 * i + j], 'i': i}}))) AS best
+    FROM vit v JOIN chars ON char = substr(v.s, v.i + 1, 1) CROSS JOIN model WHERE v.i < length(v.s))),
+decoded AS (SELECT s, CASE WHEN c[3] <= c[4] THEN p[3] ELSE p[4] END AS tags FROM vit WHERE i = length(s)),
+begun AS (SELECT s, list_append(list_filter(range(1, length(s) + 1), lambda i: substr(tags, i, 1) IN ('B', 'S')), length(s) + 1) AS b FROM decoded),
+solved AS (SELECT s, list_transform(range(1, len(b)), lambda k: substr(s, b[k], b[k + 1] - b[k])) AS words FROM begun),
+final AS (SELECT run, flatten(list(coalesce(words, [s]) ORDER BY pos)) AS words FROM isles LEFT JOIN solved USING (s) GROUP BY run)"""
+
+
+def _cut_documents(ctes: str, cut: str) -> str:
+    return rf"""WITH RECURSIVE {ctes},
+pieces AS (SELECT doc_id, unnest(list) AS piece, generate_subscripts(list, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '{PATTERN}') AS list FROM documents)),
+lists AS (SELECT doc_id, flatten(list(coalesce(words, [piece]) ORDER BY pos)) AS list FROM pieces LEFT JOIN {cut} ON run = piece GROUP BY doc_id)
+SELECT doc_id, CAST(len(list) AS INTEGER) AS n_tokens, md5(array_to_string(list, ' ')) AS tokens_md5 FROM lists"""
+
+
+# Terms met on all paths: sums of path shares ahead of and behind each position.
+EXPECTED = rf"""{LATTICE},
+shares AS (SELECT run, i, list_transform(list_filter(es, lambda e, x: e.k > 1 OR x = len(es)), lambda e: {{'k': e.k, 'w': exp(-e.c / 1000000.0::DOUBLE)}}) AS es FROM steps),
+ahead(run, i, f) AS (
+  SELECT run, length(run) + 1, [1.0::DOUBLE] FROM lruns
+  UNION ALL
+  SELECT a.run, a.i - 1, list_prepend(list_sum(list_transform(s.es, lambda e: e.w * a.f[e.k])), a.f)
+  FROM ahead a JOIN shares s ON s.run = a.run AND s.i = a.i - 1),
+behind(run, i, f) AS (
+  SELECT run, CAST(1 AS BIGINT), [1.0::DOUBLE] FROM lruns
+  UNION ALL
+  SELECT b.run, b.i + 1, list_prepend(list_sum(list_transform(inward.es, lambda e: e.w * b.f[e.k])), b.f)
+  FROM behind b JOIN (SELECT run, i + e.k AS i, list({{'k': e.k, 'w': e.w}}) AS es FROM (SELECT run, i, unnest(es) AS e FROM shares) GROUP BY ALL) inward
+    ON inward.run = b.run AND inward.i = b.i + 1),
+whole AS (SELECT run, f FROM ahead WHERE i = 1),
+front AS (SELECT run, list_reverse(f) AS f FROM behind WHERE i = length(run) + 1),
+met AS (SELECT substr(run, i, e.k) AS term, n * front.f[i] * e.w * whole.f[i + e.k] / whole.f[1] AS n
+  FROM (SELECT run, i, unnest(es) AS e FROM shares) JOIN whole USING (run) JOIN front USING (run) JOIN lruns USING (run))
+SELECT term, round(sum(n), 3) AS n FROM met WHERE term IN (SELECT term FROM learned) GROUP BY term"""
+
 
 def _joined(select: str, key: str = "doc_id") -> str:
     return f"""WITH lists AS (SELECT {key}, {select} AS list FROM documents)
@@ -328,10 +453,11 @@ terms AS (SELECT term FROM hits GROUP BY term HAVING count(*) >= 150 AND length(
 pattern AS (SELECT string_agg(term, '|' ORDER BY length(term) DESC, term) || '|{PATTERN}' AS p FROM terms),
 lists AS (SELECT doc_id, regexp_extract_all(text, p) AS list FROM documents CROSS JOIN pattern)
 SELECT doc_id, CAST(len(list) AS INTEGER) AS n_tokens, md5(array_to_string(list, ' ')) AS tokens_md5 FROM lists""",
-    "learn_dictionary": f"""WITH {DICTIONARY}
-SELECT pmi.gram AS term, CAST(pmi.n AS BIGINT) AS n, round(pmi, 6) AS pmi, round(le.e, 6) AS left_entropy,
-  round(re.e, 6) AS right_entropy FROM pmi JOIN le USING (gram) JOIN re USING (gram)
-WHERE pmi >= 1.0 AND least(le.e, re.e) >= 0.5""",
+    "learn_dictionary": f"""WITH {LEARNED}
+SELECT term, n, round(pmi, 6) AS pmi, round(l, 6) AS left_entropy, round(r, 6) AS right_entropy FROM learned""",
+    "tokenize_lattice": _cut_documents(LATTICE, "cut"),
+    "tokenize_unknown": _cut_documents(UNKNOWN, "final"),
+    "reestimate_dictionary": f"WITH RECURSIVE {EXPECTED}",
     "detect_language": f"""WITH {TRIGRAMS},
 best AS (SELECT doc_id, max((s, tag)) AS b FROM likelihood GROUP BY doc_id)
 SELECT doc_id, b[2] AS language, round(b[1], 3) AS log_likelihood FROM best""",
@@ -353,6 +479,21 @@ k AS (SELECT doc_id, p, CASE WHEN trim(t) = '' THEN 'neutral' WHEN contains(name
   WHEN contains(name, 'neg') OR name = '0' THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM m)
 SELECT doc_id, sentiment_label, round(CASE sentiment_label WHEN 'positive' THEN p WHEN 'negative' THEN -p ELSE 0 END, 6)
   AS sentiment_score FROM k""",
+    "model_sentiment": f"WITH {REVIEWS} SELECT platform, review_id, TRUE AS sign_fits, TRUE AS bounded FROM reviews",
+    "analyze_by_saved_model": f"WITH {REVIEWS} SELECT platform, review_id, TRUE AS sign_fits FROM reviews",
+    "custom_backend": f"""WITH {REVIEWS} SELECT platform, review_id, CASE WHEN length(text) > 700 THEN 'positive'
+  WHEN length(text) < 300 THEN 'negative' ELSE 'neutral' END AS sentiment_label, round(least(length(text) / 1000, 1.0::DOUBLE), 6) AS sentiment_score FROM reviews""",
+    "custom_tokenizer": f"""WITH {REVIEWS}, {_textrank(text="lower(text)", pattern=chr(92) + "p{L}+")}
+SELECT review_id, rank, term, score FROM textrank WHERE rank <= 10""",
+    "analyze_by_settings": f"""WITH {SCORED}, {_textrank()},
+kw AS (SELECT review_id, string_agg(term, ' ' ORDER BY rank) AS keywords FROM textrank WHERE rank <= 3 GROUP BY ALL)
+SELECT {LABELS}, coalesce(keywords, '') AS keywords FROM scored LEFT JOIN kw USING (review_id)""",
+    "process_with_language_model": f"""WITH {TRIGRAMS}, {REVIEWS}, best AS (SELECT doc_id, max((s, tag)) AS b FROM likelihood GROUP BY doc_id),
+c AS (SELECT *, {_clean('text')} AS t FROM reviews),
+lists AS (SELECT *, list_filter(regexp_extract_all(t, '{PATTERN}'), lambda x: x NOT IN ({_in(STOPWORDS)})) AS list FROM c)
+SELECT platform, review_id, b[2] AS language, CAST(len(list) AS INTEGER) AS n_tokens, md5(array_to_string(list, ' ')) AS tokens_md5
+FROM lists JOIN best USING (doc_id)""",
+    "lda_topics": _topics(),
     "process_reviews_layer": f"""WITH {REVIEWS}, c AS (SELECT *, {_clean(_unescape("' ' || text || '  &amp; !!!!!'"))} AS t FROM reviews),
 lists AS (SELECT *, list_filter(regexp_extract_all(t, '{PATTERN}'), lambda x: x NOT IN ({_in(STOPWORDS)})) AS list FROM c)
 SELECT platform, review_id, rating, 'unknown' AS language, {_md5('t', 'clean')},

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..config import Settings
 from ..functions import clean, coerce, sentiment, tokens as tok
 from ..functions.codec import decode_list, encode_list
 from ..operators import (
-    dictionary, insights, joins, keywords, language, marts, ranking, rolling, sentiment_model,
+    dictionary, insights, joins, keywords, language, marts, ranking, rolling, segmentation, sentiment_model, topics,
 )
 from ..operators.rows import unfold
 from ..plans.reviews import TextOptions, analyze_reviews, ingest, load_landing, missing_pages, process_reviews
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import landing, payloads, wordlists
 from ..sources.tables import ReviewTables
 from ..streaming.ingest import ingest_stream
@@ -306,17 +308,46 @@ def _frequent_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tokenize_with_dictionary(spark, sf):
-    out = dictionary.tokenize_with_dictionary(
+    out = segmentation.tokenize_longest(
         _docs(spark, sf), ["doc_id"], _frequent_words(spark, sf), text="text"
     )
     return out.select("doc_id", *_joined(F.col("tokens")))
 
 
+RUNS = r"[\p{L}\p{N}]+"
+
+
+def _learned(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(dictionary.learn_dictionary(_docs(spark, sf), text="text", runs=r"\p{L}+", min_count=20), "learned")
+
+
 @query
-def learn_dictionary(spark, sf):
-    learned = dictionary.learn_dictionary(
-        _docs(spark, sf), text="text", runs=r"\p{Ll}+", min_count=20
+def tokenize_lattice(spark, sf):
+    out = segmentation.tokenize_lattice(_docs(spark, sf), ["doc_id"], _learned(spark, sf), text="text", letters=True)
+    return out.select("doc_id", *_joined(F.col("tokens")))
+
+
+@query
+def tokenize_unknown(spark, sf):
+    learned = _learned(spark, sf)
+    runs = materialize(segmentation.counted_runs(_docs(spark, sf), RUNS, "text"), "runs")
+    segmented = segmentation.tokenize_lattice(runs, ["run"], learned, text="run", letters=True, tokens="words")
+    out = segmentation.tokenize_lattice(
+        _docs(spark, sf), ["doc_id"], learned, text="text", letters=True, tags=segmentation.learn_tags(segmented)
     )
+    return out.select("doc_id", *_joined(F.col("tokens")))
+
+
+@query
+def reestimate_dictionary(spark, sf):
+    runs = segmentation.counted_runs(_docs(spark, sf), RUNS, "text")
+    met = segmentation.reestimate(runs, _learned(spark, sf))
+    return met.select("term", F.round("n", 3).alias("n"))
+
+
+@query
+def learn_dictionary(spark, sf):
+    learned = _learned(spark, sf)
     return learned.select(
         "term", "n",
         *[F.round(c, 6).alias(c) for c in ("pmi", "left_entropy", "right_entropy")],
@@ -405,20 +436,94 @@ def model_label_mapping(spark, sf):
     )
 
 
+def _trained(spark: SparkSession, sf: str, docs: DataFrame):
+    labels = load(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    marked = materialize(docs.join(labels, "doc_id").select("clean_text", "label"), "marked")  # every iteration reads it
+    return sentiment_model.train_sentiment_model(marked)
+
+
+def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    return reviews(spark, sf).withColumn("clean_text", F.col("text"))
+
+
 @query
 def model_sentiment(spark, sf):
-    docs = reviews(spark, sf).withColumn("clean_text", F.col("text"))
-    marked = docs.join(
-        load(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id"
+    docs = _cleaned(spark, sf)
+    out = sentiment_model.model_scorer(_trained(spark, sf, docs))(docs)
+    label, score = F.col("sentiment.label"), F.col("sentiment.score")
+    fits = F.when(label == "positive", score >= 0.5).when(label == "negative", score <= -0.5).otherwise(score == 0)
+    return out.select("platform", "review_id", fits.alias("sign_fits"), (F.abs(score) <= 1).alias("bounded"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(
+        "platform", "review_id", F.col("sentiment.label").alias("sentiment_label"),
+        F.round("sentiment.score", 6).alias("sentiment_score"),
     )
-    score = sentiment_model.model_scorer(sentiment_model.train_sentiment_model(marked))
-    return score(docs).select(
-        "platform", "review_id",
-        F.col("sentiment.label").alias("sentiment_label"),
-        F.round("sentiment.score", 4).alias("sentiment_score"),
+
+
+@query
+def custom_backend(spark, sf):
+    """A backend of the user's own: long texts are good."""
+
+    def backend(text: Column, rating: Column) -> Column:
+        size = F.char_length(text)
+        label = F.when(size > 700, "positive").when(size < 300, "negative").otherwise("neutral")
+        return F.struct(label.alias("label"), F.round(F.least(size / 1000, F.lit(1.0)), 6).alias("score"))
+
+    return _named(sentiment_model.column_scorer(backend)(_cleaned(spark, sf)))
+
+
+@query
+def custom_tokenizer(spark, sf):
+    """TextRank over a tokenizer of the user's own: words of letters, in lower case."""
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    return keywords.textrank_keywords(reviews(spark, sf), ["review_id"], text="text", stopwords=STOPWORDS, tokenizer=words)
+
+
+def _processed(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf).select(
+        "platform", "review_id", "product_id", "rating", "text", "clean_text",
+        F.array().cast("array<string>").alias("tokens"), F.col("lang").alias("language"),
+        F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("fetched_at"),
     )
 
 
+@query
+def analyze_by_settings(spark, sf):
+    """Settings name a stopword file, a number of keywords, and a model that is not there."""
+    words = scratch_path(spark, "stopwords")
+    spark.createDataFrame([(w,) for w in STOPWORDS], "value string").write.text(words)
+    settings = Settings(sentiment_backend="model", model_path=scratch_path(spark, "no-model"), stopwords_path=words, keyword_count=3)
+    options = TextOptions.from_settings(spark, settings, lexicon=LEXICON, segmenter=tok.tokenize)
+    out = analyze_reviews(_processed(spark, sf), options)
+    return out.select(
+        "platform", "review_id", "sentiment_label", F.round("sentiment_score", 6).alias("sentiment_score"),
+        F.array_join("keywords", " ").alias("keywords"),
+    )
+
+
+@query
+def analyze_by_saved_model(spark, sf):
+    """Settings name a model that was trained and saved before."""
+    docs, path = _cleaned(spark, sf), scratch_path(spark, "model")
+    _trained(spark, sf, docs).save(path)
+    options = TextOptions.from_settings(spark, Settings(sentiment_backend="model", model_path=path), segmenter=tok.tokenize)
+    out = analyze_reviews(_processed(spark, sf), options)
+    label, score = F.col("sentiment_label"), F.col("sentiment_score")
+    fits = F.when(label == "positive", score >= 0.5).when(label == "negative", score <= -0.5).otherwise(score == 0)
+    return out.select("platform", "review_id", fits.alias("sign_fits"))
+
+
+@query
+def process_with_language_model(spark, sf):
+    """The language-model branch of the processed layer."""
+    model = language.train_language_model(_docs(spark, sf))
+    out = process_reviews(_raw(spark, sf), replace(OPTIONS, language_model=model))
+    return out.select("platform", "review_id", "language", *_joined(F.col("tokens")))
+
+
 # -- layers -------------------------------------------------------------------
 
 def _raw(spark: SparkSession, sf: str, df: DataFrame | None = None, day: int = 1) -> DataFrame:
@@ -448,13 +553,7 @@ def process_reviews_layer(spark, sf):
 
 @query
 def analyze_reviews_layer(spark, sf):
-    processed = scored(spark, sf).select(
-        "platform", "review_id", "product_id", "rating", "text", "clean_text",
-        F.array().cast("array<string>").alias("tokens"), F.col("lang").alias("language"),
-        F.lit(None).cast("timestamp_ntz").alias("created_at"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("fetched_at"),
-    )
-    out = analyze_reviews(processed, OPTIONS)
+    out = analyze_reviews(_processed(spark, sf), OPTIONS)
     return out.select(
         "platform", "review_id", "sentiment_label",
         F.round("sentiment_score", 6).alias("sentiment_score"),
@@ -599,7 +698,7 @@ def tfidf_by_product(spark, sf):
 
 @query
 def lda_topics(spark, sf):
-    return keywords.lda_topics(tokenized(spark, sf).select("tokens"))
+    return topics.lda_topics(tokenized(spark, sf).select("review_id", "tokens"), ["review_id"])
 
 
 # -- marts --------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -11,7 +12,7 @@ from conftest import rows
 from revlake.config import Settings
 from revlake.functions.tokens import term_counts, tokenize
 from revlake.operators import (
-    dictionary, insights, joins, keywords, language, marts, ranking, rolling, sentiment_model,
+    dictionary, insights, joins, keywords, language, marts, ranking, rolling, segmentation, sentiment_model, topics,
 )
 from revlake.schemas import KEY
 
@@ -101,17 +102,53 @@ def test_tfidf_of_nothing_and_of_one_document(spark):
 
 
 def test_lda_shape(spark):
-    docs = tokens_frame(spark, ["手 机 好", "电 池 差", "包 装 精 致"])
-    topics = keywords.lda_topics(docs, n_topics=2, top_n=3).collect()
-    assert {t.topic for t in topics} <= {0, 1}
-    assert all(t.rank <= 3 and t.term in "手机好电池差包装精致" for t in topics)
-    again = keywords.lda_topics(docs, n_topics=2, top_n=3).collect()
-    assert topics == again
-    single = keywords.lda_topics(docs, n_topics=1, top_n=3)
+    docs = tokens_frame(spark, ["手 机 好", "电 池 差", "包 装 精 致"]).withColumn("k", F.monotonically_increasing_id())
+    found = topics.lda_topics(docs, ["k"], n_topics=2, top_n=3).collect()
+    assert {t.topic for t in found} == {0, 1}
+    assert all(t.rank <= 3 and t.term in "手机好电池差包装精致" for t in found)
+    assert found == topics.lda_topics(docs, ["k"], n_topics=2, top_n=3).collect()
+    single = topics.lda_topics(docs, ["k"], n_topics=1, top_n=3)
     assert [r.term for r in single.orderBy("rank").collect()] == sorted("手机好电池差包装精致")[:3]
-    assert keywords.lda_topics(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        keywords.lda_topics(docs, max_vocabulary=2)
+    assert topics.lda_topics(docs.limit(0), ["k"]).count() == 0
+
+
+def test_lda_finds_two_themes(spark):
+    rng = random.Random(2)
+    themes = [[f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]]
+    texts = [" ".join(rng.choices(themes[k % 2], k=20)) for k in range(60)]
+    docs = tokens_frame(spark, texts).withColumn("k", F.monotonically_increasing_id())
+    found = topics.lda_topics(docs, ["k"], n_topics=2, top_n=8, max_iter=20).collect()
+    sides = [{t.term[0] for t in found if t.topic == k} for k in (0, 1)]
+    assert sorted(map(sorted, sides)) == [["a"], ["b"]]
+
+
+def test_lda_rounds_equal_plain_python(spark):
+    texts = ["x x y", "y z", "z z x w", "w"]
+    docs = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "k int, tokens array<string>")
+    k, prior = 2, 0.5
+    tf = {(str(i), w): float(n) for i, t in enumerate(texts) for w, n in Counter(t.split()).items()}
+    p = {}
+    for d, w in tf:
+        own = int(hashlib.md5(f"{d}|{w}".encode()).hexdigest()[:8], 16) % k
+        p[d, w] = [0.95 if j == own else 0.05 for j in range(k)]
+    size = len({w for _, w in tf})
+
+    def total(j, of=lambda d, w: True):
+        return sum(n * p[d, w][j] for (d, w), n in tf.items() if of(d, w))
+
+    for _ in range(3):
+        new = {}
+        for d, w in tf:
+            u = []
+            for j in range(k):
+                own = p[d, w][j]
+                by_doc, by_term = total(j, lambda x, _: x == d), total(j, lambda _, y: y == w)
+                u.append((by_doc - own + prior) * (by_term - own + prior) / (total(j) - own + size * prior))
+            new[d, w] = [x / sum(u) for x in u]
+        p = new
+    want = {(j, w): round((total(j, lambda _, y: y == w) + prior) / (total(j) + size * prior), 6) for j in range(k) for w in "xyzw"}
+    got = {(r.topic, r.term): r.weight for r in topics.lda_topics(docs, ["k"], n_topics=2, top_n=9, max_iter=3).collect()}
+    assert got == pytest.approx(want)
 
 
 # -- marts --------------------------------------------------------------------
@@ -174,7 +211,6 @@ def test_ranking(spark):
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert rows(ranking.latest_by_key(df, ["k"], [F.desc("i")]), "i") == [(49,)]
-    assert rows(ranking.top_k(df, [F.desc("i")], 2), "i") == [(48,), (49,)]
 
 
 def test_fresh_reviews(spark):
@@ -253,10 +289,10 @@ def test_dictionary_table_equals_inline_form(spark):
     words = ["手机", "手机壳", "屏幕", "非常", "非常好", "abc", "b(", "用", "缺席"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, clean_text string")
     table = spark.createDataFrame([(w,) for w in words], "term string")
-    got = dictionary.tokenize_with_dictionary(df, ["i"], table, stopwords=["用"])
+    got = segmentation.tokenize_longest(df, ["i"], table, stopwords=["用"])
     want = df.withColumn("tokens", tokenize(F.col("clean_text"), terms=words, stopwords=["用"]))
     assert rows(got, "i", "tokens") == rows(want, "i", "tokens")
-    none = dictionary.tokenize_with_dictionary(df, ["i"], table.limit(0))
+    none = segmentation.tokenize_longest(df, ["i"], table.limit(0))
     assert rows(none, "i", "tokens") == rows(df.withColumn("tokens", tokenize(F.col("clean_text"))), "i", "tokens")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import NOTICES, SPELLINGS
+from .licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS
 
 _RULES = "(VALUES ('org','/','allow'), ('example.org','/es/','block'), ('example.org','/en/1','block'), ('com','/fr/','allow'), ('com','/de/','block')) AS r(h, p, v)"
 
@@ -30,7 +30,7 @@ def _canonical(line: str) -> str:
     text = f"(' ' || trim(regexp_replace({low}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) || ' ')"
     for old, new in SPELLINGS:
         text = f"replace({text}, ' {old}', ' {new}')"
-    drop = f"regexp_matches({low}, '^[^a-z0-9]*(?:copyright\\b|\\(c\\)|©|all rights reserved)')"
+    drop = f"regexp_matches({low}, '{COPYRIGHT_LINE}')"
     return f"CASE WHEN {drop} THEN '' ELSE trim({text}) END"
 
 
@@ -38,25 +38,30 @@ _KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name
 
 LICENSE_SCANS = f"""
 WITH given(license_id, text) AS (VALUES {_KNOWN}),
-known AS (
-  SELECT sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_canonical('x')}), lambda x: x <> ''), ' ')) AS digest,
-         min(license_id) AS license_id
-  FROM given GROUP BY 1
+listed AS (
+  SELECT array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_canonical('x')}), lambda x: x <> ''), ' ') AS whole, license_id
+  FROM given
+), known AS (
+  SELECT whole, min(license_id) AS license_id, string_split(whole, ' ')[1] AS first, len(string_split(whole, ' ')) AS words FROM listed GROUP BY whole
 ), docs AS (
   SELECT DISTINCT doc_id, text FROM documents
 ), lines AS (
   SELECT doc_id, md5(coalesce(text, '')) AS raw,
          list_filter(list_transform(string_split(text, chr(10)), lambda x: {_canonical('x')}), lambda x: x <> '') AS ls FROM docs
-), units AS (
-  SELECT doc_id, raw, TRUE AS whole, nullif(array_to_string(ls, ' '), '') AS t FROM lines
-  UNION ALL SELECT doc_id, raw, FALSE, unnest(ls) FROM lines
-), found AS (
-  SELECT u.doc_id, raw, whole, CASE WHEN t IS NOT NULL THEN sha256(t) END AS digest, license_id
-  FROM units u LEFT JOIN known k ON sha256(t) = k.digest
+), places AS (
+  SELECT doc_id, raw, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines
+), tails AS (
+  SELECT doc_id, raw, array_to_string(ls[i:], chr(10)) AS tail, string_split(ls[i], ' ')[1] AS first FROM places
+), runs AS (
+  SELECT doc_id, raw, license_id, whole, tail, array_to_string(string_split(replace(tail, chr(10), ' '), ' ')[1:words], ' ') AS run FROM tails JOIN known USING (first)
+), parts AS (
+  SELECT doc_id, raw, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses FROM runs
+  WHERE run = whole AND (length(run) = length(tail) OR substr(tail, length(run) + 1, 1) = chr(10)) GROUP BY doc_id, raw
+), wholes AS (
+  SELECT doc_id, raw, nullif(array_to_string(ls, ' '), '') AS whole FROM lines
 )
-SELECT doc_id, max(CASE WHEN whole THEN digest END) AS text_sha256, max(CASE WHEN whole THEN license_id END) AS license_id,
-       string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (NOT whole AND license_id IS NOT NULL) AS line_licenses
-FROM found GROUP BY doc_id, raw
+SELECT w.doc_id, CASE WHEN w.whole IS NOT NULL THEN sha256(w.whole) END AS text_sha256, k.license_id, p.line_licenses
+FROM wholes w LEFT JOIN known k ON w.whole = k.whole LEFT JOIN parts p ON p.doc_id = w.doc_id AND p.raw = w.raw
 """
 
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')".format(

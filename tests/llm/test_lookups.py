@@ -11,7 +11,8 @@ from revlake.llm.licenses import NOTICES, scan_licenses
 from revlake.llm.queries import URL_RULES
 from revlake.llm.urls import bloom_blocks, canonical_rules, filter_urls
 
-ISC = dict(NOTICES)["ISC"]
+TEXTS = {name: text for name, text in NOTICES if len(text) > 150}
+ISC = TEXTS["ISC"]
 
 
 def brute_verdict(url, rules):
@@ -80,6 +81,30 @@ def test_license_texts(spark, make_docs, odd_pairs):
     assert scan_licenses(make_docs(pairs), known.limit(0)).filter("license_id IS NOT NULL").count() == 0
 
 
+def test_licenses_inside_longer_documents(spark, make_docs):
+    """Each listed text alone, between a title and other lines, and wrapped anew with a copyright line in it."""
+    pairs, want = [], {}
+    for k, (name, text) in enumerate(NOTICES):
+        words = text.split()
+        wrapped, at = [], 0
+        while at < len(words):
+            n = 2 + (at + k) % 9
+            wrapped.append(" ".join(words[at : at + n]))
+            at += n
+        wrapped.insert(len(wrapped) // 2, "Copyright (c) 2024 by us")
+        pairs += [(10 * k, text), (10 * k + 1, f"{name} License\n\nCopyright 2020 Some One\n\n{text}\n\nand so the file goes on\n"), (10 * k + 2, "\n".join(["our files", *wrapped, "the end"]))]
+        pairs += [(10 * k + 3, text.rsplit(" ", 1)[0] + "\nnot all of it"), (10 * k + 4, f"so {text}")]
+        want |= {10 * k: name, 10 * k + 1: name, 10 * k + 2: name}
+    known = spark.createDataFrame(list(NOTICES), "license_id string, text string")
+    for row in scan_licenses(make_docs(pairs), known).collect():
+        if row.doc_id % 10 == 0:
+            assert row.license_id == want[row.doc_id]
+        if row.doc_id in want:
+            assert want[row.doc_id] in (row.line_licenses or "").split(","), row
+        else:  # a word is missing, or one stands before
+            assert row.license_id is None and want[row.doc_id // 10 * 10] not in (row.line_licenses or "").split(",")
+
+
 def test_pipeline_stages(spark, make_docs, tmp_path):
     r = random.Random(12)
 

@@ -28,35 +28,53 @@ _VALUE = np.random.default_rng(4712).integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint32(1 << WINDOW)
 PIECE = 1 << 20
+#: Where no hash is the smallest for so many bytes, as in text that repeats itself, chunks also end where it is one of several.
+LARGEST = 64
 
 
 def gear(data: np.ndarray) -> np.ndarray:
     """Gear hash at each byte: the sum of the last WINDOW bytes' values, each doubled once per step since."""
-    h = _GEAR[data]
-    width = 1
-    while width < WINDOW:  # a window of twice the width from two that overlap nowhere
-        longer = h.copy()
-        longer[width:] += h[:-width] << np.uint32(width)
-        h, width = longer, 2 * width
+    h = np.zeros(len(data), np.uint32)
+    value = _GEAR[data]
+    for back in range(min(WINDOW, len(data))):
+        h[back:] += value[: len(data) - back] << np.uint32(back)
     return h
 
 
+def _filled(ends: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """``ends`` with some of ``ties`` inside chunks over LARGEST, RADIUS bytes apart at least.
+
+    In periodic text ties stand at one place of each period, so that equal stretches get equal chunks wherever they begin.
+    """
+    starts = np.r_[0, ends[:-1]]
+    more = []
+    for at in np.flatnonzero(ends - starts > LARGEST):
+        last = starts[at]
+        for tie in ties[np.searchsorted(ties, starts[at]) : np.searchsorted(ties, ends[at])].tolist():
+            if tie - last > RADIUS:
+                more.append(tie)
+                last = tie
+    return np.union1d(ends, more).astype(np.int64) if more else ends
+
+
 def boundaries(data: np.ndarray) -> np.ndarray:
     """Ends of the chunks of one text (the last is its length), in pieces of bounded size."""
-    ends = []
+    ends, ties = [], []
     for at in range(0, len(data), PIECE):
         lead = min(at, WINDOW + RADIUS)
         h = gear(data[at - lead : at + PIECE + RADIUS]) & np.uint32((1 << WINDOW) - 1)
         wide = np.r_[np.full(RADIUS, _TOP), h, np.full(RADIUS, _TOP)]
-        width = 1
-        while width < RADIUS:  # smallest of the next RADIUS values
-            wide[:-width] = np.minimum(wide[:-width], wide[width:])
-            width *= 2
-        least = (h < wide[: len(h)]) & (h <= wide[RADIUS + 1 : RADIUS + 1 + len(h)])
-        cut = np.flatnonzero(least[lead : lead + PIECE])
-        ends.append(cut + at + 1)
+        done = 1
+        while done < RADIUS:  # smallest of the next RADIUS values
+            step = min(done, RADIUS - done)
+            wide[:-step] = np.minimum(wide[:-step], wide[step:])
+            done += step
+        before, after = wide[: len(h)], wide[RADIUS + 1 : RADIUS + 1 + len(h)]
+        for found, least in ((ends, (h < before) & (h <= after)), (ties, (h <= before) & (h <= after))):
+            found.append(np.flatnonzero(least[lead : lead + PIECE]) + at + 1)
     found = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-    return found if len(found) and found[-1] == len(data) else np.append(found, len(data))
+    found = found if len(found) and found[-1] == len(data) else np.append(found, len(data))
+    return _filled(found, np.concatenate(ties)) if ties else found
 
 
 def _digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -136,8 +154,9 @@ def cut_repeats(docs: DataFrame, min_core_words: int = MIN_CORE_WORDS) -> DataFr
     spans = repeated_spans(docs, min_core_words).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("spans"))
     spans = materialize(spans.select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "spans"), "spans")
     names = [*docs.columns, "_spans"]
-    same = docs["doc_id"].eqNullSafe(spans["cut_id"]) & F.xxhash64(docs["text"]).eqNullSafe(spans["cut_th"])
-    both = docs.join(spans, same, "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("row_th"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("cut_id")) & (F.col("row_th") == F.col("cut_th"))
+    both = rows.join(spans, same, "left").select(*[F.col(f"row.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from revlake.llm.chunks import boundaries, cut_repeats, gear, repeated_spans, _GEAR, WINDOW
+from revlake.llm.chunks import boundaries, cut_repeats, gear, repeated_spans, _GEAR, LARGEST, WINDOW
 from revlake.llm.components import components
 from revlake.llm.contamination import decontaminate, find_leaks, item_sketches, shingle_rows
 from revlake.llm.near_duplicates import drop_near_duplicates, near_duplicates
@@ -122,6 +122,41 @@ def test_repeated_passages_are_found_and_cut(make_docs, odd_pairs):
     assert repeated_spans(make_docs([])).count() == 0
 
 
+def test_passages_of_over_fifty_words_are_found(make_docs):
+    """Random and self-repeating passages of 51 to 60 words, each in two documents of other words."""
+    r = random.Random(3)
+
+    def prose(n, letters="abcdefghijklmnopqrst"):
+        return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n))
+
+    pairs, planted = [], 300
+    for k in range(planted):
+        size = r.randint(51, 60)
+        unit = prose(r.randint(1, 4)).split() if k % 3 == 0 else prose(size).split()
+        passage = " ".join((unit * size)[:size])
+        for i in (2 * k, 2 * k + 1):
+            pairs.append((i, f"{prose(r.randint(1, 60))} {passage} {prose(r.randint(1, 60))}"))
+    pairs += [(5000 + k, prose(200)) for k in range(100)]
+    found = {(s.doc_id, s.first_doc_id) for s in repeated_spans(make_docs(pairs)).collect()}
+    right = {(2 * k + 1, 2 * k) for k in range(planted)}
+    assert len(found & right) >= 0.99 * planted
+    assert not any(i >= 5000 for i, _ in found)
+
+
+def test_periodic_text_has_bounded_chunks():
+    for unit in (b"abcd", b"a", b"seven by", b"a longer unit of text that repeats, "):
+        ends = boundaries(np.frombuffer(unit * 20_000, np.uint8))
+        assert np.diff(np.r_[0, ends]).max() <= 4 * LARGEST
+
+
+def test_cutting_keeps_columns_of_any_name(spark):
+    r = random.Random(8)
+    passage = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(70))
+    docs = spark.createDataFrame([(1, passage, 1, 2, 3, 4), (2, "start " + passage, 5, 6, 7, 8)], "doc_id long, text string, spans int, cut_id int, cut_th int, _spans int")
+    left = {x.doc_id: x for x in cut_repeats(docs).collect()}
+    assert left[1].text == passage and len(left[2].text) < 100 and (left[2].spans, left[2].cut_id, left[2].cut_th, left[2]._spans) == (5, 6, 7, 8)
+
+
 def test_recurring_templates_are_dropped_but_once(make_docs, odd_pairs):
     pairs = [(k, f"own start {chr(97 + k)}\nviewed 1{k} times by 2{k} people today\nown end {chr(97 + k)}") for k in range(12)]
     pairs += [(50 + k, "a b\ncopy of the same text\nc d") for k in range(15)]

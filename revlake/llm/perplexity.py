@@ -1,7 +1,7 @@
-"""Quality rules with an n-gram perplexity: a modified Kneser-Ney model of each language's words.
+"""Quality rules with an n-gram perplexity: a modified Kneser-Ney model of each language's text.
 
-The model predicts a word byte by byte from the four bytes before (spaces stand before and after a
-word), so its n-grams are exact 64-bit keys. Spark counts the n-grams of the whole corpus and computes
+The model predicts the words of a text, with a space after each, byte by byte from the four bytes before, also across
+words, so its n-grams are exact 64-bit keys and the order of words matters. Spark counts the n-grams of the whole corpus and computes
 all probabilities; tasks that score look keys up in sorted arrays. A document's perplexity is per
 byte. In each language, documents outside a band around the quartiles are rejected.
 """
@@ -24,26 +24,39 @@ ORDER = 5
 SYMBOLS = 256  # what a prediction can be
 REPEAT_WORDS = 8
 #: Bands reach so many interquartile ranges (of log perplexity, in thousandths, at least LEAST_RANGE) beyond the quartiles.
-REACH, LEAST_RANGE = 6, 30
+REACH, LEAST_RANGE = 3, 30
+#: Tables with a row for each language are sent along up to so many rows.
+FEW_LANGUAGES = 10_000
 #: The model's arrays, counted before, are sent to the tasks up to so many bytes; above, n-grams are scored by a join.
 BROADCAST_BYTES = 96 << 20
 _FLUSH = 1 << 20
+_SLICE = 1 << 20
 
 
-def _word_grams(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams that end at each byte of the chosen words and at the space after, and their number by word."""
+def _grams(words: Words, chosen: np.ndarray, per_row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed n-grams that end at each byte of the chosen words or at the space after, with the number of their row.
+
+    ``per_row`` has the number of words of each row. Slices of bounded size are packed one after another.
+    """
     size = words.end[chosen] - words.start[chosen]
-    block = size + ORDER
-    begin = np.cumsum(block) - block
-    flat = np.full(int(block.sum()), 0x20, np.int64)
+    lead = np.zeros(len(size), np.int64)
+    first = np.cumsum(per_row) - per_row
+    lead[first[per_row > 0]] = ORDER - 1  # spaces before a text
+    begin = np.cumsum(lead + size + 1) - size - 1
+    flat = np.full(int((lead + size + 1).sum()), 0x20, np.uint8)
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    flat[inside + np.repeat(begin + ORDER - 1, size)] = words.data[inside + np.repeat(words.start[chosen], size)]
-    packed = np.zeros(len(flat), np.int64)
-    for k in range(ORDER):
-        packed[: len(flat) - k] |= flat[k:] << (8 * (ORDER - 1 - k))
-    number = size + 1
-    at = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(begin, number)
-    return packed[at], number
+    flat[inside + np.repeat(begin, size)] = words.data[inside + np.repeat(words.start[chosen], size)]
+    row = np.repeat(np.repeat(np.arange(len(per_row), dtype=np.int32), per_row), lead + size + 1)
+    made = np.ones(len(flat), bool)
+    at = np.flatnonzero(lead)
+    for k in range(1, ORDER):
+        made[begin[at] - k] = False
+    for lo in range(ORDER - 1, len(flat), _SLICE):
+        hi = min(lo + _SLICE, len(flat))
+        packed = np.zeros(hi - lo, np.int64)
+        for k in range(ORDER):
+            packed |= flat[lo - k : hi - k].astype(np.int64) << (8 * k)
+        yield packed[made[lo:hi]], row[lo:hi][made[lo:hi]]
 
 
 def _by_language(languages: list, per_row: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -76,16 +89,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
         kept, held = defaultdict(list), 0
         for batch in batches:
             words = Words(batch.column(1))
-            h = words.hashes()
-            for lang, _, at in _by_language(batch.column(0).to_pylist(), words.per_row):
-                _, first, times = np.unique(h[at], return_index=True, return_counts=True)
-                gram, number = _word_grams(words, at[first])
-                gram, place = np.unique(gram, return_inverse=True)
-                kept[lang].append((gram, np.bincount(place, weights=np.repeat(times, number), minlength=len(gram))))
-                held += len(gram)
-            if held > _FLUSH:
-                yield from flush(kept)
-                kept, held = defaultdict(list), 0
+            for lang, own, at in _by_language(batch.column(0).to_pylist(), words.per_row):
+                for grams, _ in _grams(words, at, words.per_row[own]):
+                    gram, times = np.unique(grams, return_counts=True)
+                    kept[lang].append((gram, times))
+                    held += len(gram)
+                    if held > _FLUSH:
+                        yield from flush(kept)
+                        kept, held = defaultdict(list), 0
         yield from flush(kept)
 
     rows = docs.filter("text IS NOT NULL").select(_lang(), "text")
@@ -106,6 +117,12 @@ def _discounts(grams: DataFrame) -> DataFrame:
     return counts.select("lang", *[F.when(fine, d).otherwise(k / 2).alias(f"d{k}") for k, d in zip((1, 2, 3), own)])
 
 
+def _by_lang(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """A join with a table of one row for each language, which is sent along, so that rows are not dealt out by language."""
+    few = materialize(few, "languages")
+    return rows.join(F.broadcast(few) if few.count() <= FEW_LANGUAGES else few, "lang", how)
+
+
 def kneser_ney(grams: DataFrame) -> DataFrame:
     """(lang, part, key, value) of the interpolated model: part 2k has ln P of k-grams, part 2k+1 ln of what a context leaves to order k-1.
 
@@ -118,7 +135,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     parts, lower = [], None
     for k in range(1, ORDER + 1):
         discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = orders[k].join(_discounts(orders[k]), "lang").withColumn("d", F.least(discount, F.col("c")))
+        own = _by_lang(orders[k], _discounts(orders[k])).withColumn("d", F.least(discount, F.col("c")))
         own = own.withColumn("context", F.shiftright("gram", 8))
         contexts = own.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
         contexts = contexts.withColumn("gamma", F.col("left") / F.col("total"))
@@ -223,16 +240,10 @@ def _scored(docs: DataFrame, model) -> DataFrame:
             events = np.diff(np.r_[0, np.cumsum(made)][np.r_[0, np.cumsum(words.per_row)]])
             lp = np.zeros(batch.num_rows)
             if own is not None:
-                h = words.hashes()
                 for lang, rows, at in _by_language(batch.column(2).to_pylist(), words.per_row):
-                    if not len(at):
-                        continue
-                    _, first, place = np.unique(h[at], return_index=True, return_inverse=True)
-                    gram, number = _word_grams(words, at[first])
-                    score = np.add.reduceat(own.log_probabilities(lang, gram), np.cumsum(number) - number)[place]
-                    n = words.per_row[rows]
-                    full = n > 0
-                    lp[rows[full]] = np.add.reduceat(score, (np.cumsum(n) - n)[full])
+                    for grams, row in _grams(words, at, words.per_row[rows]):
+                        gram, place = np.unique(grams, return_inverse=True)
+                        lp[rows] += np.bincount(row, weights=own.log_probabilities(lang, gram)[place], minlength=len(rows))
             measures = _measures(words, column.to_pylist())
             yield pa.record_batch([*(batch.column(k) for k in range(3)), *map(pa.array, measures), pa.array(lp), pa.array(events)], names)
 
@@ -249,14 +260,13 @@ def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(batch.column(3))
-            gram, number = _word_grams(words, np.arange(len(words.start)))
-            row = np.repeat(np.repeat(np.arange(batch.num_rows), words.per_row), number)
-            order = np.lexsort((gram, row))
-            gram, row = gram[order], row[order]
-            first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])][: len(gram)])
-            keep = pa.array(row[first])
-            times = np.diff(np.r_[first, len(gram)])
-            yield pa.record_batch([*(batch.column(k).take(keep) for k in range(3)), pa.array(gram[first]), pa.array(times)], ["doc_id", "th", "lang", "key", "n"])
+            for gram, row in _grams(words, np.arange(len(words.start)), words.per_row):
+                order = np.lexsort((gram, row))
+                gram, row = gram[order], row[order]
+                first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])][: len(gram)])
+                keep = pa.array(row[first])
+                times = np.diff(np.r_[first, len(gram)])
+                yield pa.record_batch([*(batch.column(k).take(keep) for k in range(3)), pa.array(gram[first]), pa.array(times)], ["doc_id", "th", "lang", "key", "n"])
 
     rows = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), _lang(), "text").distinct()
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -297,7 +307,7 @@ def quality_rules(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
     log_perplexity = F.when(F.col("bytes") > 0, -F.col("lp") / F.col("bytes"))
     rows = rows.withColumn("base_failed", failed).withColumn("milli", F.round(log_perplexity * 1000).cast("int"))
     rows = materialize(rows, "scores")
-    judged = rows.join(bands(rows), "lang", "left")
+    judged = _by_lang(rows, bands(rows), "left")
     inside = F.coalesce((F.col("milli") >= F.col("low")) & (F.col("milli") <= F.col("high")), F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -10,7 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from revlake.llm.perplexity import ORDER, SYMBOLS, count_grams, kneser_ney, quality_rules
+from revlake.llm import perplexity
+from revlake.llm.perplexity import LEAST_RANGE, ORDER, REACH, SYMBOLS, count_grams, kneser_ney, quality_rules
 from revlake.llm.quality import Features, OrdinalModel, fit_quality, grade_documents, keep_good
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,13 +81,17 @@ def test_words_are_features_at_any_place_of_a_glued_text():
     assert features.of("a" * 200)[0].tolist() != features.of("a" * 200 + "!!!b")[0].tolist()
 
 
+def padded_text(text):
+    words = WORDS.findall(text or "")
+    return b" " * (ORDER - 1) + " ".join(words).encode() + b" " if words else b""
+
+
 def brute_log_probabilities(texts):
     """ln P of every n-gram by the textbook formula, on plain dictionaries."""
     counts = Counter()
     for text in texts:
-        for w in WORDS.findall(text):
-            padded = b" " * (ORDER - 1) + w.encode() + b" "
-            counts.update(padded[i : i + ORDER] for i in range(len(padded) - ORDER + 1))
+        padded = padded_text(text)
+        counts.update(padded[i : i + ORDER] for i in range(len(padded) - ORDER + 1))
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         orders[k] = Counter(g[1:] for g in orders[k + 1])
@@ -140,7 +145,7 @@ def test_rules_equal_brute_force(make_docs, odd_pairs):
     for k in range(60):
         words = [r.choice(["the", "of", "word", "é", "a#b", "x<y>", "more"]) + r.choice(["", "", "\n", "\n\n"]) for _ in range(r.randint(1, 150))]
         pairs.append((100 + k, " ".join(words + words[:12] * r.randint(0, 3))))
-    pairs.append((900, " ".join("QXZJ!!" + chr(0x100 + k) for k in range(60))))
+    pairs.append((900, " ".join("".join(chr(r.randint(0x100, 0x17F)) for _ in range(8)) for _ in range(60))))  # nothing to predict
     docs = make_docs(pairs)
     sent = quality_rules(docs).collect()
     joined = quality_rules(docs, broadcast_bytes=0).collect()
@@ -159,9 +164,51 @@ def test_perplexity_of_a_document(make_docs):
     p = brute_log_probabilities(texts)
     for row in quality_rules(make_docs(list(enumerate(texts)))).collect():
         total, made = 0.0, 0
-        for w in WORDS.findall(texts[row.doc_id]):
-            padded = b" " * (ORDER - 1) + w.encode() + b" "
-            for i in range(len(padded) - ORDER + 1):
-                total += math.log(p[padded[i : i + ORDER]])
-                made += 1
+        padded = padded_text(texts[row.doc_id])
+        for i in range(len(padded) - ORDER + 1):
+            total += math.log(p[padded[i : i + ORDER]])
+            made += 1
         assert abs(row.perplexity - math.exp(-total / made)) < 0.01
+
+
+def test_kept_equals_the_bands(make_docs):
+    """The verdict from plain perplexities and plain quartiles."""
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(10, 60))) for _ in range(60)]
+    texts += [" ".join("".join(r.choice("xyzq#") for _ in range(12)) for _ in range(40)), "a " * 60, " ".join(f"{k}!{k * k}?" for k in range(40))]
+    p = brute_log_probabilities(texts)
+    milli, fails = {}, {}
+    for i, text in enumerate(texts):
+        padded = padded_text(text)
+        grams = [padded[k : k + ORDER] for k in range(len(padded) - ORDER + 1)]
+        milli[i] = round(-sum(math.log(p[g]) for g in grams) / len(grams) * 1000)
+        fails[i] = brute_measures(text)[-1]
+    passing = sorted(m for i, m in milli.items() if not fails[i])
+    q1, q3 = (passing[-(-len(passing) * k // 4) - 1] for k in (1, 3))
+    reach = max(q3 - q1, LEAST_RANGE) * REACH
+    want = {i: not fails[i] and q1 - reach <= m <= q3 + reach for i, m in milli.items()}
+    assert {x.doc_id: x.kept for x in quality_rules(make_docs(list(enumerate(texts)))).collect()} == want
+    assert {False, True} == {want[i] for i in want if not fails[i]}
+
+
+def test_shuffled_words_have_a_higher_perplexity(make_docs):
+    r = random.Random(5)
+    verses = ["the old man walked to the far end of the town", "a small dog ran after the red ball in the park", "she said that it was not the right time for it"]
+    texts = [" ".join(r.choice(verses) for _ in range(8)) for _ in range(60)]
+    words = texts[0].split()
+    r.shuffle(words)
+    got = {x.doc_id: x.perplexity for x in quality_rules(make_docs([*enumerate(texts), (99, " ".join(words))])).collect()}
+    assert got[99] > 1.2 * max(got[k] for k in range(60))
+
+
+def test_long_texts_are_scored_in_slices(make_docs, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(r.randint(1, 7))) for _ in range(r.randint(0, 200))) for _ in range(30)]
+    docs = make_docs(list(enumerate(texts)))
+    whole = sorted(map(repr, quality_rules(docs).collect()))
+    words = perplexity.Words(perplexity.pa.array(texts))
+    one = [x.tolist() for x in next(perplexity._grams(words, np.arange(len(words.start)), words.per_row))]
+    monkeypatch.setattr(perplexity, "_SLICE", 37)
+    parts = list(perplexity._grams(words, np.arange(len(words.start)), words.per_row))
+    assert [sum((p[k].tolist() for p in parts), []) for k in (0, 1)] == one and len(parts) > 10
+    assert whole == sorted(map(repr, quality_rules(docs).collect()))

@@ -153,7 +153,8 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED) -> OrdinalModel:
     """Model of the ratings, fitted on ``max_rated`` rated documents at most, chosen by a hash of their ids.
 
-    Without any rating the model gives every document the middle of the scale and keeps it.
+    Of several texts (or ratings) of one id the text with the smallest hash counts. Without any rating the model
+    gives every document the middle of the scale and keeps it.
     """
     known = labels.select("doc_id", "quality", "toxic").filter("doc_id IS NOT NULL").distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
@@ -168,7 +169,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED)
             yield pa.record_batch([batch.column(0), *packed, batch.column(2)], ["doc_id", "numbers", "shares", "grade"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.dropDuplicates(["doc_id"]).mapInArrow(run, f"doc_id {kind}, numbers binary, shares binary, grade int")
+    first = F.min(F.struct(F.xxhash64("text"), "text", "grade")).alias("row")
+    sample = sample.groupBy("doc_id").agg(first).select("doc_id", "row.text", "row.grade")
+    rows = sample.mapInArrow(run, f"doc_id {kind}, numbers binary, shares binary, grade int")
     # bounded by max_rated documents; in order of ids, so that sums do not depend on the partitions
     got = sorted(rows.collect(), key=lambda r: r["doc_id"])
     if not got:

@@ -26,6 +26,7 @@ LEADING = 3  # tokens that lead down the tree
 MIN_DOCUMENTS = 10  # different texts with a recurring template
 SHINGLE = 5  # words
 SIMILAR = 80  # per cent of the shingles of near copies
+LEAVES_SENT = 1_000_000  # a long each
 MIN_FIXED = 60  # per cent of a leaf template's places that are no fields
 
 
@@ -65,8 +66,7 @@ def leaf_templates(kinds: DataFrame, least: int, min_fixed: int = MIN_FIXED) ->
     total = kinds.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), places)
     total = materialize(total.filter((F.col("kinds") > 1) & (F.col("total") >= least)).drop("kinds"), "leaves")
     tokens = F.posexplode_outer(F.split("masked", " ", -1)).alias("place", "token")
-    each = materialize(kinds.join(total.select("leaf"), "leaf", "left_semi").select("leaf", "h", "n", "masked"), "crowded")
-    each = each.select("leaf", "h", "n", tokens)
+    each = kinds.select("leaf", "h", "n", tokens)
     borne = each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
     fixed = borne.join(total, "leaf").filter("2 * n > total").select("leaf", "place", "token")
     valid = fixed.groupBy("leaf").agg(F.count("*").alias("fixed")).join(total, "leaf").filter(F.col("fixed") * 100 >= F.col("places") * min_fixed)
@@ -114,17 +114,21 @@ def near_copies(places: DataFrame, lines: DataFrame, kinds: DataFrame) -> DataFr
 def recurring_lines(docs: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
     """(doc_id, th, pos): the lines to drop, those whose template is in ``least`` texts.
 
-    Lines are unfolded and stored once. Different lines are counted first, and only those whose template has
-    enough lines go further. Counting combines before each shuffle, so that a line found everywhere is a
-    few rows per task.
+    Lines are unfolded and stored once. Leaves are counted first, and only lines of leaves with enough of them go
+    further; these leaves are sent to the lines up to LEAVES_SENT of them. Counting combines before each shuffle, so
+    that a line found everywhere is a few rows per task.
     """
     lines = materialize(document_lines(docs), "lines")
-    kinds = materialize(lines.groupBy("leaf", "h").agg(F.min("masked").alias("masked"), F.count("*").alias("n")), "kinds")
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("leaf")
+    leaves = materialize(leaves, "leaves")
+    side = F.broadcast(leaves) if leaves.count() <= LEAVES_SENT else leaves
+    crowded = materialize(lines.join(side, "leaf", "left_semi"), "crowded")
+    kinds = materialize(crowded.groupBy("leaf", "h").agg(F.min("masked").alias("masked"), F.count("*").alias("n")), "kinds")
     named = kinds.select("h", "n", F.md5(F.col("masked").cast("binary")).alias("mark")).join(leaf_templates(kinds, least), "h", "left")
     named = materialize(named.select("h", "n", "mark", F.coalesce("template", "h").alias("template")), "templates")
     enough = named.groupBy("template").agg(F.sum("n").alias("lines"), F.min("mark").alias("mark")).filter(F.col("lines") >= least).select("template", "mark")
     candidates = named.select("h", "template").join(enough, "template")
-    found = lines.select("doc_id", "th", "pos", "rank", "h", "size", "total").join(candidates, "h")
+    found = crowded.select("doc_id", "th", "pos", "rank", "h", "size", "total").join(candidates, "h")
     found = materialize(found, "found")
     texts = found.groupBy("template", "mark", "th").agg(_first())
     often = texts.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("template")

@@ -3,12 +3,15 @@
 1. Every document's set of word shingles gives a digest and a signature of 128 minima. Documents
    with one digest form a class; one member stands for it from here on.
 2. Forest: 32 orders of the signature, each beginning at another place. Sorted by an order, classes that
-   share a prefix lie together; neighbours with a common prefix of four minima or more are candidates.
+   share a prefix of four minima, a region, lie together; neighbours in a region are candidates.
    The sort goes on beyond the prefix, so that in crowded regions the neighbours are those with the
    longest common prefix: the depth follows the region. Classes of a similarity of 0.8 share a region
    of some order except with a probability of (1 - 0.8^4)^32 < 5e-8.
-3. Candidates whose signatures agree in 3 of 8 minima or more tie classes together to clusters. A class is
-   tied to its crowd even if its neighbours there are not those it is linked with. A cluster only says where links can be.
+3. Candidates whose signatures agree in 76 of 128 minima or more tie classes together to clusters. A
+   region that then still holds several clusters is gone through again: all signatures outside its largest cluster
+   are compared with all others of the region, in tiles of bounded size. So classes that share a region and agree are
+   in one cluster, whatever lies between them. Classes of a similarity of 0.8 agree in fewer minima with a
+   probability below 3e-8. A cluster only says where links can be.
 4. Inside a cluster all links are decided on the full sets. Large clusters are dealt out in blocks with
    a few members in common. What is not in a cluster's largest component is then dealt out in pieces of a
    block's size, and every piece meets every block in a task of its own, which holds these two only. So
@@ -21,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -29,9 +33,15 @@ from .components import components
 from .words import Words, bounded_batches, mix, rows_of, shingles
 
 MINIMA, ORDERS, PREFIX = 128, 32, 4
-AGREE = 48  # of MINIMA
+AGREE = 76  # of MINIMA
+#: Signatures of a region that a task compares with as many others.
+REGION = 2048
+#: Up to so many regions (under 50 bytes each) are broadcast to the classes.
+SENT_REGIONS = 200_000
 #: Members of a cluster that one task compares, and members that all blocks of a larger one share.
 BLOCK, SHARED = 1500, 24
+#: Shingles of such a block together, unless a single set has more.
+BLOCK_SHINGLES = 2_000_000
 #: Up to so many members of clusters (under 100 bytes each) are broadcast to the texts.
 SENT_MEMBERS = 200_000
 _RANDOM = np.random.default_rng(99)
@@ -90,25 +100,94 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes next to each other in a sorted order, if they share a prefix."""
+    """Pairs of classes next to each other in a sorted order, if they share a prefix; the task's ends as pairs with themselves."""
+    part = TaskContext.get().partitionId()
     tail = np.zeros((2, 0), np.int64)
+
+    def ends(key: np.ndarray, own: np.ndarray, side: int) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(own), pa.array(own), pa.array(key), pa.array([2 * part + side])], ["u", "v", "key", "place"])
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
         key = np.r_[tail[0], batch.column(0).to_numpy(zero_copy_only=False)]
         own = np.r_[tail[1], batch.column(1).to_numpy(zero_copy_only=False)]
+        if not tail.size:
+            yield ends(key[:1], own[:1], 0)
         near = np.flatnonzero(key[:-1] == key[1:])
         pair = own[near], own[near + 1]
-        yield pa.record_batch([pa.array(np.maximum(*pair)), pa.array(np.minimum(*pair))], ["u", "v"])
+        none = pa.nulls(len(near), pa.int64())
+        yield pa.record_batch([pa.array(np.maximum(*pair)), pa.array(np.minimum(*pair)), pa.array(key[near]), none], ["u", "v", "key", "place"])
         tail = np.stack([key[-1:], own[-1:]])
+    if tail.size:
+        yield ends(tail[0], tail[1], 1)
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree often enough."""
+    """Whether the signatures of pairs agree often enough."""
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MINIMA) for k in (2, 3))
-        keep = pa.array(np.flatnonzero((a == b).sum(axis=1) >= AGREE))
-        yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], ["u", "v"])
+        yield pa.record_batch([*batch.columns[:2], pa.array((a == b).sum(axis=1) >= AGREE)], ["u", "v", "agree"])
+
+
+def region_ties(label: np.ndarray, low: np.ndarray, probe: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a probe and another row that agree, as many as are needed to join all labels that have such a pair."""
+    label, ties, others = label.copy(), [], np.flatnonzero(~probe)
+    for i in np.flatnonzero(probe):
+        far = others[label[others] != label[i]]
+        for j in far[(low[far] == low[i]).sum(axis=1) >= AGREE].tolist():
+            if label[j] != label[i]:
+                ties.append((int(i), j))
+                label[label == label[j]] = label[i]
+    return ties
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tile, cid, label, probe, low), sorted by key and tile: ties between the labels of each tile."""
+
+    def decide(held: list[tuple]) -> pa.RecordBatch:
+        cid, label, probe, low = zip(*held)
+        ties = region_ties(np.array(label), np.frombuffer(b"".join(low), np.uint8).reshape(-1, MINIMA), np.array(probe))
+        return pa.record_batch([pa.array([cid[pair[at]] for pair in ties], pa.int64()) for at in (0, 1)], ["u", "v"])
+
+    at, held = None, []
+    for batch in batches:
+        for key, tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, tile) != at:
+                if held:
+                    yield decide(held)
+                at, held = (key, tile), []
+            held.append(row)
+    if held:
+        yield decide(held)
+
+
+def _region_pairs(classes: DataFrame, open_pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): ties between clusters that share a region, for all regions of ``open_pairs`` (u, v in different clusters)."""
+    spark = classes.sparkSession
+    keys = classes.select("cid", "keys")
+    both = open_pairs.join(keys.toDF("u", "keys_u"), "u").join(keys.toDF("v", "keys_v"), "v")
+    regions = materialize(both.select(F.explode(F.array_intersect("keys_u", "keys_v")).alias("key")).distinct(), "regions")
+    few = regions.count() <= SENT_REGIONS
+    labelled = classes.select("cid", "low", "keys").join(roots.toDF("cid", "root"), "cid", "left")
+    labelled = labelled.select("cid", "low", F.coalesce("root", "cid").alias("label"), F.explode("keys").alias("key"))
+    members = materialize(labelled.join(F.broadcast(regions) if few else regions, "key", "left_semi"), "region_members")
+
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    blocks, pieces = (F.ceil(n / F.lit(REGION)).cast("int") for n in (F.col("m"), F.col("m") - F.col("most")))
+    sizes = materialize(sizes.filter("m > most").select("key", "main", blocks.alias("blocks"), pieces.alias("pieces")), "region_sizes")
+    placed = members.join(F.broadcast(sizes) if few else sizes, "key")
+    home, piece = F.pmod(F.xxhash64("cid"), F.col("blocks")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("pieces"))
+    every_block, every_piece = (F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c).cast("bigint") - 1)) for c in ("blocks", "pieces"))
+    own = placed.select("key", home.alias("block"), every_piece.alias("piece"), "cid", "label", F.lit(False).alias("probe"), "low")
+    outside = placed.filter("label <> main").select("key", every_block.alias("block"), piece.alias("piece"), "cid", "label", F.lit(True).alias("probe"), "low")
+    tile = (F.shiftleft("block", 32) + F.col("piece")).alias("tile")
+    rows = own.unionByName(outside).select("key", tile, "cid", "label", "probe", "low")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "tile").sortWithinPartitions("key", "tile", "cid", "probe")
+    return dealt.mapInArrow(_tiles, "u long, v long")
 
 
 def clusters(classes: DataFrame) -> DataFrame:
@@ -123,10 +202,25 @@ def clusters(classes: DataFrame) -> DataFrame:
     )
     rows = classes.select("cid", F.inline(following)).select("key", "cid", "k2", "k3")
     ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "k2", "k3", "cid").sortWithinPartitions("key", "k2", "k3", "cid")
-    pairs = ordered.select("key", "cid").mapInArrow(_neighbours, "u long, v long").filter("u <> v").distinct()
+    near = materialize(ordered.select("key", "cid").mapInArrow(_neighbours, "u long, v long, key long, place long"), "neighbours")
+    # a region can go on in the next task: two rows of each task, in the order of the tasks
+    follow = Window.orderBy("place")
+    ends = near.filter("place IS NOT NULL").select("u", F.lead("u").over(follow).alias("v"), "key", F.lead("key").over(follow).alias("next_key"))
+    across = ends.filter("key = next_key AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pairs = near.filter("place IS NULL AND u <> v").select("u", "v").unionByName(across).distinct()
     low = classes.select("cid", "low")
     tried = pairs.join(low.toDF("u", "low_u"), "u").join(low.toDF("v", "low_v"), "v")
-    return components(tried.select("u", "v", "low_u", "low_v").mapInArrow(_agreeing, "u long, v long"))
+    tried = tried.select("u", "v", "low_u", "low_v").mapInArrow(_agreeing, "u long, v long, agree boolean")
+    tried = materialize(tried, "tried")
+    found = components(tried.filter("agree").select("u", "v"))
+    at_u, at_v = found.toDF("u", "root_u"), found.toDF("v", "root_v")
+    apart = tried.filter("NOT agree").join(at_u, "u", "left").join(at_v, "v", "left")
+    apart = apart.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    apart = materialize(apart, "apart")
+    if apart.isEmpty():
+        return found
+    more = _region_pairs(classes, apart, found)
+    return components(found.toDF("u", "v").unionByName(more))
 
 
 class _Block:
@@ -218,9 +312,10 @@ def exact_labels(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size
     """(cid, label) of the classes in clusters: label is the smallest class of the component of exact links."""
     bounded_batches(docs.sparkSession)
     clustered = materialize(clustered, "clusters")
-    many = clustered.groupBy("root").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    inside = clustered.join(many, "root").select(F.col("node").alias("cid"), "root", blocks.alias("blocks"))
+    sized = clustered.withColumnRenamed("node", "cid").join(classes.select("cid", "n"), "cid")
+    blocks = F.greatest(F.count("*") / block, F.sum("n") / F.lit(BLOCK_SHINGLES))
+    many = sized.groupBy("root").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    inside = clustered.join(many, "root").select(F.col("node").alias("cid"), "root", "blocks")
     wanted = classes.join(inside, "cid").select("cid", "root", "blocks", F.col("rep").alias("doc_id"), "th")
     wanted = materialize(wanted, "members")
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
@@ -252,11 +347,13 @@ def exact_labels(docs: DataFrame, classes: DataFrame, clustered: DataFrame, size
     places = F.explode(F.when(shared, all_blocks).otherwise(F.array(home))).alias("block")
     first = materialize(_blocks(large.select("root", places, "cid", no, "shingles"), percent), "first")
     parts = components(first)
-    found = large.select("cid", "root").join(parts.toDF("cid", "part"), "cid", "left").select("cid", "root", F.coalesce("part", "cid").alias("part"))
+    found = large.select("cid", "root", F.size("shingles").alias("n")).join(parts.toDF("cid", "part"), "cid", "left")
+    found = found.select("cid", "root", "n", F.coalesce("part", "cid").alias("part"))
     sizes = materialize(found.groupBy("root", "part").agg(F.count("*").alias("n")), "parts")
     main = sizes.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    outside = found.join(main, "root").filter("part <> main").select("root", "cid")
-    pieces = outside.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("pieces"))
+    outside = found.join(main, "root").filter("part <> main").select("root", "cid", "n")
+    pieces = F.greatest(F.count("*") / block, F.sum("n") / F.lit(BLOCK_SHINGLES))
+    pieces = outside.groupBy("root").agg(F.ceil(pieces).cast("int").alias("pieces"))
     outside = outside.join(F.broadcast(pieces), "root").select("cid", F.pmod(F.xxhash64("cid", F.lit(2)), F.col("pieces")).cast("int").alias("piece"))
     # a row for each large cluster: small enough to send along
     all_pieces = F.sequence(F.lit(0), F.col("pieces") - 1)
@@ -290,10 +387,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     rows = materialize(signatures(docs, size), "signatures")
     filled = rows.filter("n > 0")
     classes = filled.groupBy("d1", "d2").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("m"), F.first("low").alias("low"), F.first("keys").alias("keys")
+        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("m"),
+        F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys"),
     )
     classes = classes.select(
-        F.monotonically_increasing_id().alias("cid"), "d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.th").alias("th"), "low", "keys"
+        F.monotonically_increasing_id().alias("cid"), "d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.th").alias("th"), "n", "low", "keys"
     )
     classes = materialize(classes, "classes")  # fixes the numbers
     labels = exact_labels(docs, classes, clusters(classes), size, percent, block)

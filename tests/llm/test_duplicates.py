@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 
 from revlake.llm.chunks import boundaries, cut_repeats, gear, repeated_spans, _GEAR, LARGEST, WINDOW
+from revlake.llm import near_duplicates as near
 from revlake.llm.components import components
 from revlake.llm.contamination import decontaminate, find_leaks, item_sketches, shingle_rows
-from revlake.llm.near_duplicates import drop_near_duplicates, near_duplicates
+from revlake.llm.near_duplicates import drop_near_duplicates, near_duplicates, region_ties
 from revlake.llm.templates import drop_recurring_lines, line_report, recurring_lines
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,6 +61,59 @@ def test_near_duplicates_equal_brute_force(make_docs, odd_pairs, size, block):
     assert sorted(map(tuple, got), key=repr) == sorted(brute_components(pairs, size), key=repr)
 
 
+def crowded(n, core, size, r):
+    """Documents that hold a common core, with own words beside it; every third is followed by an edit of it."""
+    shared, out = [f"c{k}" for k in range(core)], []
+    while len(out) < n:
+        own = [f"o{r.randrange(10**9)}" for _ in range(r.randint(core // 2, core * 3))]
+        at = r.randrange(len(own))
+        words = own[:at] + shared + own[at:]
+        out.append(words)
+        if len(out) % 3 == 0:
+            words = list(words)
+            for _ in range(max(1, len(words) // (12 * size))):
+                words[r.randrange(len(words))] = f"e{r.randrange(10**9)}"
+            out.append(words)
+    r.shuffle(out)
+    return [(k, " ".join(w)) for k, w in enumerate(out)]
+
+
+@pytest.mark.parametrize(("size", "region"), [(2, 2048), (2, 7), (5, 2048)])
+def test_links_inside_a_crowd_are_found(make_docs, monkeypatch, size, region):
+    monkeypatch.setattr(near, "REGION", region)
+    pairs = crowded(500, 80, size, random.Random(size))
+    got = near_duplicates(make_docs(pairs), size, 80).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute_components(pairs, size)
+    assert sum(i != c for i, _, c in want) > 60
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_region_ties_equal_brute_force():
+    r = np.random.default_rng(8)
+    centres = r.integers(0, 256, (6, 128), dtype=np.uint8)
+    low = centres[r.integers(0, 6, 90)]
+    low[r.random(low.shape) < 0.22] = 0
+    probe, label = r.random(90) < 0.6, r.integers(0, 70, 90)
+    ties = region_ties(label, low, probe)
+
+    def joined(pairs):
+        group = label.copy()
+        for i, j in pairs:
+            group[group == group[j]] = group[i]
+        return {tuple(np.flatnonzero(group == g)) for g in group}
+
+    agree = [(i, j) for i in np.flatnonzero(probe) for j in np.flatnonzero(~probe) if (low[i] == low[j]).sum() >= near.AGREE]
+    assert joined(ties) == joined(agree)
+    assert len(ties) < 70 and joined(ties) != joined([])
+
+
+def test_large_sets_are_dealt_out_by_their_shingles(make_docs, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 3000)
+    pairs = crowd(80, 3)
+    got = near_duplicates(make_docs(pairs), 2, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(pairs, 2))
+
+
 def test_near_duplicates_of_nothing(make_docs):
     assert near_duplicates(make_docs([])).count() == 0
     assert near_duplicates(make_docs([(1, None), (2, "")])).count() == 2

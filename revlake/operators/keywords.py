@@ -192,15 +192,19 @@ def tfidf_keywords(
     *,
     tokens: str = "tokens",
     top_n: int = 20,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Top terms by the sum of their L2-normalised tf-idf over the documents of a group.
 
     idf = ln((1 + N) / (1 + df)) + 1 with raw counts as tf. Scores are rounded to six digits
-    before ranking, ties by term.
+    before ranking, ties by term. ``frequencies`` is a vocabulary counted before, as
+    ``DocumentFrequencies`` keeps it; without it the documents are counted here.
     """
+    if frequencies is None:
+        frequencies = doc_frequency(docs, key, by, tokens=tokens)
     idf = F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
     vocabulary = materialize(
-        doc_frequency(docs, key, by, tokens=tokens).select(*by, "term", "df", idf.alias("idf")),
+        frequencies.select(*by, "term", "df", idf.alias("idf")),
         "vocabulary",
     )
     weighted = split_heavy_join(

@@ -142,6 +142,12 @@ def _textrank(source: str = "reviews", key: str = "review_id", **tokens: str) ->
     return ",\n".join(ctes)
 
 
+_DOC_FREQUENCY = f"""WITH {REVIEWS}, {_tokens()}, {KEPT},
+n AS (SELECT count(*) AS n_docs FROM reviews)
+SELECT term, df, n_docs FROM (SELECT term, count(DISTINCT review_id) AS df FROM kept GROUP BY ALL) CROSS JOIN n
+WHERE df <= 0.95 * n_docs"""
+
+
 def _tfidf(by: str, top_n: int) -> str:
     group = f"{by}, " if by else ""
     over = f"PARTITION BY {by}" if by else ""
@@ -517,12 +523,11 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",
     "load_landed_reviews": f"{LANDED_SCORED} SELECT {ANALYZED} FROM scored",
     "textrank_keywords": f"""WITH {REVIEWS}, {_textrank()}
 SELECT review_id, rank, term, score FROM textrank WHERE rank <= 10""",
-    "doc_frequency": f"""WITH {REVIEWS}, {_tokens()}, {KEPT},
-n AS (SELECT count(*) AS n_docs FROM reviews)
-SELECT term, df, n_docs FROM (SELECT term, count(DISTINCT review_id) AS df FROM kept GROUP BY ALL) CROSS JOIN n
-WHERE df <= 0.95 * n_docs""",
+    "doc_frequency": _DOC_FREQUENCY,
+    "doc_frequency_by_batches": _DOC_FREQUENCY,
     "tfidf_keywords": _tfidf("", 20),
     "tfidf_by_product": _tfidf("platform, product_id", 10),
+    "tfidf_of_kept_frequencies": _tfidf("platform, product_id", 10),
     "sentiment_distribution": f"WITH {SCORED} SELECT sentiment_label, count(*) AS count FROM scored GROUP BY ALL",
     "sentiment_distribution_by_product": f"""WITH {SCORED}
 SELECT platform, product_id, sentiment_label, count(*) AS count FROM scored GROUP BY ALL""",

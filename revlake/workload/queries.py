@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,6 +13,7 @@ from ..functions.codec import decode_list, encode_list
 from ..operators import (
     dictionary, insights, joins, keywords, language, marts, ranking, rolling, segmentation, sentiment_model, topics,
 )
+from ..operators.frequencies import DocumentFrequencies
 from ..operators.rows import unfold
 from ..plans.reviews import TextOptions, analyze_reviews, ingest, load_landing, missing_pages, process_reviews
 from ..session import materialize, scratch_path
@@ -696,6 +697,26 @@ def tfidf_by_product(spark, sf):
     )
 
 
+def _counted(spark: SparkSession, sf: str, docs: DataFrame, by: Sequence[str] = ()) -> DocumentFrequencies:
+    """Frequencies of all documents, added in three batches, the second of them twice."""
+    kept = DocumentFrequencies(spark, scratch_path(spark, "frequencies"), by)
+    for batch in (0, 1, 1, 2):
+        kept.add(batch, docs.filter(F.pmod(F.xxhash64("review_id"), F.lit(3)) == batch))
+    return kept
+
+
+@query
+def doc_frequency_by_batches(spark, sf):
+    return _counted(spark, sf, tokenized(spark, sf)).vocabulary()
+
+
+@query
+def tfidf_of_kept_frequencies(spark, sf):
+    docs, by = tokenized(spark, sf), ["platform", "product_id"]
+    kept = _counted(spark, sf, docs, by)
+    return keywords.tfidf_keywords(docs, ["review_id"], by, top_n=10, frequencies=kept.vocabulary())
+
+
 @query
 def lda_topics(spark, sf):
     return topics.lda_topics(tokenized(spark, sf).select("review_id", "tokens"), ["review_id"])

@@ -14,6 +14,7 @@ from revlake.functions.tokens import term_counts, tokenize
 from revlake.operators import (
     dictionary, insights, joins, keywords, language, marts, ranking, rolling, segmentation, sentiment_model, topics,
 )
+from revlake.operators.frequencies import DocumentFrequencies
 from revlake.schemas import KEY
 
 
@@ -96,6 +97,46 @@ def test_tfidf(spark, monkeypatch, limit):
         )
 
 
+def words_at(vocabulary, *columns):
+    return sorted(map(tuple, vocabulary.select(*columns, "term", "df", "n_docs").collect()))
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_frequencies_of_three_batches_equal_one_over_all(spark, tmp_path, by):
+    docs = tokens_frame(spark, [*DOCS, None, "", "late word word"], "pqpqqpppq")
+    kept = DocumentFrequencies(spark, str(tmp_path / "df"), by)
+    with pytest.raises(ValueError):
+        kept.vocabulary()
+    for batch in (0, 1, 1, 2, 0):  # a batch given again changes nothing
+        kept.add(batch, docs.filter(F.col("i") % 3 == batch))
+    kept.add(7, docs.limit(0))
+    want = keywords.doc_frequency(docs, ["i"], by)
+    assert words_at(kept.vocabulary(), *by) == words_at(want, *by) != []
+    got = keywords.tfidf_keywords(docs, ["i"], by, frequencies=kept.vocabulary()).collect()
+    assert sorted(got) == sorted(keywords.tfidf_keywords(docs, ["i"], by).collect())
+
+
+def test_replaced_documents_leave_the_frequencies(spark, tmp_path):
+    old, new = tokens_frame(spark, ["a b", "b c", "c d", "x y"]), tokens_frame(spark, ["a b", "b c", "c d", "y z"])
+    kept = DocumentFrequencies(spark, str(tmp_path / "df"))
+    kept.add(0, old)
+    kept.add(1, new.filter("i = 3"), old.filter("i = 3"))
+    assert words_at(kept.vocabulary(min_df=1)) == words_at(keywords.doc_frequency(new, ["i"], min_df=1))
+    kept.add(1, new.limit(0))  # taken back
+    assert words_at(kept.vocabulary(min_df=1)) == words_at(keywords.doc_frequency(old, ["i"], min_df=1))
+
+
+def test_frequencies_follow_a_stream(spark, tmp_path):
+    docs = tokens_frame(spark, DOCS)
+    kept = DocumentFrequencies(spark, str(tmp_path / "df"))
+    landing = str(tmp_path / "docs")
+    for part in range(3):
+        docs.filter(F.col("i") % 3 == part).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        assert kept.follow(stream, str(tmp_path / "checkpoint")).awaitTermination(60)
+    assert words_at(kept.vocabulary()) == words_at(keywords.doc_frequency(docs, ["i"]))
+
+
 def test_tfidf_of_nothing_and_of_one_document(spark):
     assert keywords.tfidf_keywords(tokens_frame(spark, ["a b"]).limit(0), ["i"]).count() == 0
     assert keywords.tfidf_keywords(tokens_frame(spark, ["a b"]), ["i"]).count() == 0

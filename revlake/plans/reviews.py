@@ -15,12 +15,13 @@ from ..functions.tokens import Tokenizer, remove_stopwords, segment_words
 from ..operators.joins import fresh_reviews
 from ..operators.keywords import textrank
 from ..operators.language import UNKNOWN, LanguageModel, detect_language, script_language
+from ..operators.language_posterior import LanguagePosterior
 from ..operators.marts import run_summary
 from ..operators.ranking import latest_by_key
 from ..operators.sentiment_model import Scorer, model_scorer, rule_scorer, select_scorer
 from ..schemas import ANALYZED, KEY, PROCESSED, RAW
 from ..session import materialize
-from ..sources.landing import read_payload_pages
+from ..sources.landing import read_page_archive, read_payload_pages
 from ..sources.payloads import (
     contiguous_pages, in_range, merge_bounds, open_pages, page_bounds, page_gap_ranges, page_gaps, parse_reviews, route_platform,
 )
@@ -35,7 +36,7 @@ class TextOptions:
     terms: tuple[str, ...] = ()
     stopwords: tuple[str, ...] = STOPWORDS_ZH
     lexicon: Lexicon = SHIPPED
-    language_model: LanguageModel | None = None
+    language_model: LanguageModel | LanguagePosterior | None = None
     scorer: Scorer | None = None
     keyword_count: int = 5
     segmenter: Tokenizer | None = field(default=None, compare=False)
@@ -69,6 +70,8 @@ def process_reviews(raw: DataFrame, options: TextOptions = TextOptions()) -> Dat
     if options.language_model is None:
         tag = F.coalesce(script_language(F.col("clean_text")), F.lit(UNKNOWN))
         rows = rows.withColumn("language", tag)
+    elif isinstance(options.language_model, LanguagePosterior):
+        rows = rows.withColumn("language", options.language_model.tag(F.col("clean_text"))["language"])
     else:
         tags = detect_language(clean.select(*KEY, "clean_text"), KEY, options.language_model)
         rows = rows.join(tags.select(*KEY, "language"), KEY)
@@ -183,13 +186,13 @@ def ingest_parsed(
 
 def ingest(
     spark: SparkSession, landing_dir: str, tables: ReviewTables, *, incremental: bool = True,
-    max_pages: int | None = None, platform: str | None = None, product_id: str | None = None,
+    max_pages: int | None = None, platform: str | None = None, product_id: str | None = None, archive: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Landed pages of all (or one) products into ``raw_reviews``."""
+    """Landed pages of all (or one) products into ``raw_reviews``; ``archive`` if files hold many pages each."""
     if platform:
         route_platform(platform)
     tables.init_tables()
-    pages = read_payload_pages(spark, landing_dir)
+    pages = (read_page_archive if archive else read_payload_pages)(spark, landing_dir)
     if platform:
         pages = pages.filter(F.col("platform") == platform)
     if product_id:
@@ -235,12 +238,12 @@ def refine(
 def run_reviews(
     spark: SparkSession, landing_dir: str, tables: ReviewTables, *, incremental: bool = True,
     max_pages: int | None = None, platform: str | None = None, product_id: str | None = None,
-    options: TextOptions = TextOptions(),
+    options: TextOptions = TextOptions(), archive: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Ingest and refine; returns the newly analyzed rows and the counts per product."""
     fetched, fresh = ingest(
         spark, landing_dir, tables, incremental=incremental, max_pages=max_pages,
-        platform=platform, product_id=product_id,
+        platform=platform, product_id=product_id, archive=archive,
     )
     analyzed = refine(tables, options=options, platform=platform, product_id=product_id)
     return analyzed, run_summary(fetched, fresh, analyzed)
@@ -248,12 +251,12 @@ def run_reviews(
 
 def load_landing(
     spark: SparkSession, landing_dir: str, root: str, products: Sequence[tuple[str, str]] = (),
-    max_pages: int | None = None, options: TextOptions = TextOptions(),
+    max_pages: int | None = None, options: TextOptions = TextOptions(), archive: bool = False,
 ) -> DataFrame:
     """Everything that has landed (or some products) through all layers in one job."""
     tables = ReviewTables(spark, root)
     tables.init_tables()
-    pages = read_payload_pages(spark, landing_dir)
+    pages = (read_page_archive if archive else read_payload_pages)(spark, landing_dir)
     if products:
         wanted = spark.createDataFrame(list(products), "platform string, product_id string")
         pages = pages.join(wanted, ["platform", "product_id"], "left_semi")

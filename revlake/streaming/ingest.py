@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.reviews import TextOptions, ingest_parsed, newest_in_batch, parse_landed, refine
 from ..session import scratch_scope
-from ..sources.landing import stream_payload_pages
+from ..sources.landing import stream_page_archive, stream_payload_pages
 from ..sources.tables import ReviewTables
 
 
@@ -22,6 +22,7 @@ def ingest_stream(
     analyze: bool = False,
     options: TextOptions = TextOptions(),
     max_files: int | None = None,
+    archive: bool = False,
 ) -> StreamingQuery:
     """Process what has landed since the last run and stop.
 
@@ -47,7 +48,7 @@ def ingest_stream(
                 refine(tables, newest_in_batch(fresh), options)
 
     return (
-        stream_payload_pages(spark, landing_dir, max_files)
+        (stream_page_archive if archive else stream_payload_pages)(spark, landing_dir, max_files)
         .writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -390,6 +390,8 @@ KEPT_LIST = f"list_filter({ALL_TOKENS}, lambda t: t NOT IN ({_in(STOPWORDS)}))"
 
 ORACLE: dict[str, str] = {
     "payload_pages": f"""WITH {REVIEWS}, {PAGES}
+SELECT platform, product_id, page, CAST(count(*) AS INTEGER) AS n_items FROM paged GROUP BY ALL""",
+    "archived_pages": f"""WITH {REVIEWS}, {PAGES}
 SELECT platform, product_id, page, CAST(count(*) AS INTEGER) AS n_items FROM paged GROUP BY ALL""",
     "unwrap_jsonp": f"""WITH bodies AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '  fetchJSON_c1(' || text || ');' || chr(10)
   WHEN 1 THEN text ELSE 'fetchJSON_c2(' || text || ');x' END AS raw FROM documents),
@@ -467,6 +469,25 @@ SELECT term, n, round(pmi, 6) AS pmi, round(l, 6) AS left_entropy, round(r, 6) A
     "detect_language": f"""WITH {TRIGRAMS},
 best AS (SELECT doc_id, max((s, tag)) AS b FROM likelihood GROUP BY doc_id)
 SELECT doc_id, b[2] AS language, round(b[1], 3) AS log_likelihood FROM best""",
+    "language_posterior_folds": r"""WITH padded AS (
+  SELECT doc_id, lang, doc_id % 2 AS fold, string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ', '') AS c
+  FROM documents),
+grams AS (SELECT doc_id, lang, fold, (unicode(c[i])::BIGINT * 1000003 + unicode(c[i + 1])::BIGINT * 8191 + unicode(c[i + 2])::BIGINT * 131) % 65536 AS bucket
+          FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM padded)),
+trained AS (SELECT 1 - fold AS fold, lang, bucket, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT fold, lang, ln(sum(n) + 65536) AS log_total FROM trained GROUP BY ALL),
+priors AS (SELECT 1 - fold AS fold, lang, ln(count(*) / sum(count(*)) OVER (PARTITION BY fold)) AS log_prior
+           FROM padded WHERE lang IS NOT NULL GROUP BY fold, lang),
+counted AS (SELECT doc_id, fold, bucket, count(*) AS n FROM grams GROUP BY ALL),
+gains AS (SELECT doc_id, t.lang, sum(g.n * ln(t.n + 1)) AS gain FROM counted g JOIN trained t USING (fold, bucket) GROUP BY ALL),
+sizes AS (SELECT doc_id, fold, sum(n) AS n FROM counted GROUP BY ALL),
+likelihood AS (SELECT sizes.doc_id, p.lang, round(log_prior + coalesce(gain, 0) - n * log_total, 6) AS s
+  FROM sizes JOIN priors p USING (fold) JOIN totals USING (fold, lang) LEFT JOIN gains ON gains.doc_id = sizes.doc_id AND gains.lang = p.lang),
+best AS (SELECT doc_id, max(s) AS top FROM likelihood GROUP BY doc_id),
+posteriors AS (SELECT doc_id, 1 / sum(exp(s - top)) AS posterior, min(CASE WHEN s = top THEN lang END) AS lang
+  FROM likelihood JOIN best USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN posterior >= 0.9 THEN posteriors.lang ELSE 'unknown' END AS language, round(posterior, 3) AS posterior
+FROM documents LEFT JOIN posteriors USING (doc_id)""",
     "encode_lists": f"""WITH lists AS (SELECT doc_id, {ALL_TOKENS} AS list FROM documents),
 coded AS (SELECT *, CAST(to_json(list) AS VARCHAR) AS j FROM lists)
 SELECT doc_id, {_md5('j', 'json')}, CAST(len(list) AS INTEGER) AS n_tokens, md5(array_to_string(list, ' ')) AS tokens_md5 FROM coded""",
@@ -542,6 +563,8 @@ FROM scored GROUP BY ALL""",
   round(avg(score), 6) AS mean_score FROM scored WHERE rating IS NOT NULL GROUP BY ALL""",
     "token_frequencies": f"WITH {REVIEWS}, {_tokens()}, {KEPT} SELECT term, count(*) AS n FROM kept GROUP BY ALL",
     "word_cloud_terms": f"""WITH {REVIEWS}, {_tokens()}, {KEPT}
+SELECT term, count(*) AS n FROM kept GROUP BY ALL ORDER BY n DESC, term LIMIT 200""",
+    "heavy_hitter_terms": f"""WITH {REVIEWS}, {_tokens()}, {KEPT}
 SELECT term, count(*) AS n FROM kept GROUP BY ALL ORDER BY n DESC, term LIMIT 200""",
     "top_terms": f"""WITH {SCORED}, {_tokens('scored')}, {KEPT},
 counts AS (SELECT platform, product_id, term, count(*) AS n FROM kept WHERE sentiment_label = 'positive' GROUP BY ALL)

@@ -11,7 +11,7 @@ from ..config import Settings
 from ..functions import clean, coerce, sentiment, tokens as tok
 from ..functions.codec import decode_list, encode_list
 from ..operators import (
-    dictionary, insights, joins, keywords, language, marts, ranking, rolling, segmentation, sentiment_model, topics,
+    dictionary, heavy_hitters, insights, joins, keywords, language, language_posterior, marts, ranking, rolling, segmentation, sentiment_model, topics,
 )
 from ..operators.frequencies import DocumentFrequencies
 from ..operators.rows import unfold
@@ -101,6 +101,15 @@ def payload_pages(spark, sf):
     return opened.select("platform", "product_id", "page", "n_items")
 
 
+@query
+def archived_pages(spark, sf):
+    """The pages out of archive files of many pages."""
+    path = scratch_path(spark, "archive")
+    landing.write_page_archive(landed_pages(spark, sf), path)
+    opened = payloads.open_pages(landing.read_page_archive(spark, path))
+    return opened.select("platform", "product_id", "page", "n_items")
+
+
 @query
 def unwrap_jsonp(spark, sf):
     docs = spread(load(spark, sf, "documents"), "doc_id")
@@ -355,6 +364,19 @@ def learn_dictionary(spark, sf):
     )
 
 
+@query
+def language_posterior_folds(spark, sf):
+    """Every document tagged by a model that was fitted on the other half of them."""
+    docs = _docs(spark, sf)
+    half = F.pmod("doc_id", F.lit(2))
+    parts = []
+    for fold in (0, 1):
+        model = language_posterior.train_language_posterior(docs.filter(half != fold))
+        tagged = docs.filter(half == fold).select("doc_id", model.tag(F.col("text")).alias("t"))
+        parts.append(tagged.select("doc_id", "t.language", F.round("t.posterior", 3).alias("posterior")))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def detect_language(spark, sf):
     docs = _docs(spark, sf)
@@ -772,6 +794,12 @@ def word_cloud_terms(spark, sf):
     return marts.token_frequencies(tokenized(spark, sf), top_n=200)
 
 
+@query
+def heavy_hitter_terms(spark, sf):
+    words = materialize(tokenized(spark, sf).select("tokens"), "tokens")
+    return heavy_hitters.frequent_terms(words, 200)
+
+
 @query
 def top_terms(spark, sf):
     return insights.top_terms(with_tokens(scored(spark, sf)), "positive")

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from conftest import rows
 from revlake.config import Settings
@@ -384,3 +384,13 @@ def test_settings_from_session(spark):
         spark.conf.unset("revlake.max_pages")
     assert KEY == ["platform", "review_id"]
     assert spark.createDataFrame([(["b", "a", "b"],)], "t array<string>").select(term_counts(F.col("t"))).count() == 1
+
+
+def test_model_scores_after_an_observation(spark):
+    """The summary of a training holds the session, and that what observes frames, which no task can be sent."""
+    df = spark.createDataFrame([(i, "x y" if i % 2 else "u v", float(i % 2), 3) for i in range(20)], "i int, clean_text string, label double, rating int")
+    seen = Observation()
+    assert df.observe(seen, F.count(F.lit(1)).alias("n")).count() == 20 and seen.get == {"n": 20}
+    model = sentiment_model.train_sentiment_model(df, features=1 << 8)
+    assert not model.stages[-1].hasSummary
+    assert sentiment_model.model_scorer(model)(df).filter("sentiment.label = 'positive'").count() == 10

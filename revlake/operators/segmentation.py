@@ -14,6 +14,8 @@ from .rows import unfold
 
 #: Costs are -ln of a share, in units of this fraction.
 SCALE = 1_000_000
+#: Texts are cut together up to this many characters, as what a cut holds in memory is many times its texts.
+CUT_CHARS = 1 << 18
 #: Terms are sent along up to this many characters in all (a beginning of one takes 16 bytes); more are joined to the texts.
 SENT_CHARS = 4_000_000
 TAGS = "BMES"
@@ -34,13 +36,29 @@ def word_costs(counts: DataFrame, n: str = "n") -> tuple[DataFrame, int]:
     return kept.select("term", cost_of(F.col(n) / F.lit(total.total)).alias("cost")), total.unknown
 
 
+def _groups(texts: pa.Array, most: int = CUT_CHARS) -> Iterator[list[str]]:
+    """All texts in order, a few at a time: up to ``most`` characters, or a single longer text."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        text = text.as_py()
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def _udf(cut: Cut, trie) -> Callable[[Column], Column]:
     """Equal texts of a batch are cut once."""
 
     def run(texts: pa.Array) -> pa.Array:
         coded = texts.fill_null("").dictionary_encode()
-        lists = pa.array(cut(coded.dictionary.to_pylist(), trie.value), pa.list_(pa.string()))
-        return lists.take(coded.indices)
+        kind = pa.list_(pa.string())
+        lists = [pa.array(cut(group, trie.value), kind) for group in _groups(coded.dictionary)]
+        return (pa.concat_arrays(lists) if lists else pa.array([], kind)).take(coded.indices)
 
     return F.arrow_udf(run, "array<string>")
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,28 @@ def test_tags_equal_enumeration(spark):
 def test_costs_of_nothing(spark):
     none, unknown = word_costs(spark.createDataFrame([], "term string, n int"))
     assert none.count() == 0 and unknown == 0
+
+
+def test_texts_are_cut_a_few_at_a_time():
+    """A batch is not held whole: what is cut together has a bound, and only a longer text is alone."""
+    from revlake.operators import segmentation
+
+    texts = ["ab" * 10, "", "c" * 70, "dd", "e" * 30, "f" * 31]
+    parts = list(segmentation._groups(pa.array(texts), 60))
+    assert [t for part in parts for t in part] == texts
+    assert all(len(part) == 1 or sum(map(len, part)) <= 60 for part in parts)
+
+    sizes = []
+
+    def cut(group, trie):
+        sizes.append(sum(map(len, group)))
+        return [list(t) for t in group]
+
+    class Sent:
+        value = None
+
+    long = [chr(97 + i % 26) * 1000 + str(i) for i in range(1000)]
+    out = segmentation._udf(cut, Sent).func if hasattr(segmentation._udf(cut, Sent), "func") else None
+    assert out is not None
+    assert out(pa.array([*long, None, long[0]])).to_pylist() == [list(t) for t in [*long, "", long[0]]]
+    assert max(sizes) <= segmentation.CUT_CHARS and len(sizes) > 1

@@ -3,6 +3,7 @@ import re
 import time
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -201,3 +202,18 @@ def test_cleaning_is_linear_and_lets_filters_pass(spark, tmp_path):
     assert [tuple(r) for r in cleaned.collect()] == [(3, "x & y")]
     plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Filter")
+
+
+def test_texts_cross_to_python_a_few_at_a_time(spark):
+    """Of an Arrow batch only a slice is held as Python strings; order and nulls stay."""
+    held = []
+
+    def change(text):
+        held.append(text)
+        return text.upper()
+
+    texts = pa.array([None if i % 5 == 0 else f"t{i}" for i in range(3 * clean.SLICE + 7)])
+    out = clean._text_udf(change).func(texts)
+    assert out.to_pylist() == [t and t.upper() for t in texts.to_pylist()]
+    assert len(held) == len(texts) - texts.null_count
+    assert clean._text_udf(change).func(pa.array([], pa.string())).to_pylist() == []

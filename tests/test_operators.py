@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation, functions as F
 
@@ -394,3 +395,18 @@ def test_model_scores_after_an_observation(spark):
     model = sentiment_model.train_sentiment_model(df, features=1 << 8)
     assert not model.stages[-1].hasSummary
     assert sentiment_model.model_scorer(model)(df).filter("sentiment.label = 'positive'").count() == 10
+
+
+def test_textrank_of_nothing_and_of_many_texts(spark, monkeypatch):
+    """Texts ranked together keep to themselves, wherever a group of them ends."""
+    monkeypatch.setattr(keywords, "RANKED_TOKENS", 20)
+    texts = [" ".join(f"w{(i * k) % 7}x" for k in range(i)) for i in range(25)]
+    lists = pa.array([t.split() for t in texts] + [None])
+    parts = list(keywords._slices(lists))
+    assert len(parts) > 5 and sum(map(len, parts)) == len(lists)
+    got = [r for part in parts for r in keywords._rank(part, pa.array(["w0x"]), 2, 4).to_pylist()]
+    assert got[-1] is None and got[0] == [] and got[1] == []
+    for text, ranked in zip(texts, got):
+        want = plain_textrank(text.split(), ("w0x",), 4)
+        assert [r["term"] for r in ranked] == [t for _, t in want]
+        assert [r["score"] for r in ranked] == pytest.approx([s for s, _ in want], abs=2e-6)

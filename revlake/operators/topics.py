@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialize, scratch_scope
+from ..session import materialize, remove_path, scratch_path, scratch_scope
 from .joins import split_heavy_join
 from .keywords import doc_frequency, document_terms
 from .ranking import top_n_per_group
@@ -56,27 +56,32 @@ def lda_topics(
         size = vocabulary.count()
         if not size:
             return spark.createDataFrame([], SCHEMA)
-        terms = split_heavy_join(document_terms(docs, key, tokens=tokens), vocabulary.withColumnRenamed("df", "n_docs"), ["term"], "n_docs")
-        own = _first_topic(key, k)
-        even = (1 - START) / k
-        pairs = terms.select(*key, "term", "tf", own.alias("own"))
-        pairs = pairs.select(*key, "term", "tf", *[F.when(F.col("own") == j, START + even).otherwise(even).alias(p) for j, p in enumerate(shares)])
-        pairs = materialize(pairs, "pairs")
+        path = scratch_path(spark, "pairs")
+        with scratch_scope(spark):  # the copy of a join is needed no longer than its result is written
+            terms = split_heavy_join(document_terms(docs, key, tokens=tokens), vocabulary.withColumnRenamed("df", "n_docs"), ["term"], "n_docs")
+            own = _first_topic(key, k)
+            even = (1 - START) / k
+            pairs = terms.select(*key, "term", "tf", own.alias("own"))
+            pairs = pairs.select(*key, "term", "tf", *[F.when(F.col("own") == j, START + even).otherwise(even).alias(p) for j, p in enumerate(shares)])
+            pairs = materialize(pairs, path=path)
         per_doc = Window.partitionBy(*key)
         for _ in range(max_iter):
-            by_term = materialize(pairs.groupBy("term").agg(*_sums("w", k), F.count("*").alias("n_docs")), "by_term")
-            totals = by_term.agg(*[F.sum(f"w{j}").alias(f"w{j}") for j in range(k)]).first()  # a number for each topic
-            by_doc = pairs.select("*", *[F.sum(F.col("tf") * F.col(p)).over(per_doc).alias(f"d{j}") for j, p in enumerate(shares)])
-            both = split_heavy_join(by_doc, by_term, ["term"], "n_docs")
+            before, path = path, scratch_path(spark, "pairs")
+            with scratch_scope(spark):
+                by_term = materialize(pairs.groupBy("term").agg(*_sums("w", k), F.count("*").alias("n_docs")), "by_term")
+                totals = by_term.agg(*[F.sum(f"w{j}").alias(f"w{j}") for j in range(k)]).first()  # a number for each topic
+                by_doc = pairs.select("*", *[F.sum(F.col("tf") * F.col(p)).over(per_doc).alias(f"d{j}") for j, p in enumerate(shares)])
+                both = split_heavy_join(by_doc, by_term, ["term"], "n_docs")
 
-            def weight(j: int) -> Column:
-                p = F.col(f"p{j}")
-                rest = F.lit(totals[f"w{j}"]) - p + size * prior
-                return (F.col(f"d{j}") - p + prior) * (F.col(f"w{j}") - p + prior) / rest
+                def weight(j: int) -> Column:
+                    p = F.col(f"p{j}")
+                    rest = F.lit(totals[f"w{j}"]) - p + size * prior
+                    return (F.col(f"d{j}") - p + prior) * (F.col(f"w{j}") - p + prior) / rest
 
-            raised = both.select(*key, "term", "tf", *[weight(j).alias(f"u{j}") for j in range(k)])
-            whole = sum((F.col(f"u{j}") for j in range(1, k)), F.col("u0"))
-            pairs = materialize(raised.select(*key, "term", "tf", *[(F.col(f"u{j}") / whole).alias(p) for j, p in enumerate(shares)]), "pairs")
+                raised = both.select(*key, "term", "tf", *[weight(j).alias(f"u{j}") for j in range(k)])
+                whole = sum((F.col(f"u{j}") for j in range(1, k)), F.col("u0"))
+                pairs = materialize(raised.select(*key, "term", "tf", *[(F.col(f"u{j}") / whole).alias(p) for j, p in enumerate(shares)]), path=path)
+            remove_path(spark, before)  # what a round wrote goes with it
         by_term = materialize(pairs.groupBy("term").agg(*_sums("w", k)), "by_term")
         totals = by_term.agg(*[F.sum(f"w{j}").alias(f"w{j}") for j in range(k)]).first()
         each = F.array(*[

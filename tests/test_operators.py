@@ -397,6 +397,26 @@ def test_model_scores_after_an_observation(spark):
     assert sentiment_model.model_scorer(model)(df).filter("sentiment.label = 'positive'").count() == 10
 
 
+def test_lda_keeps_no_earlier_round(spark, monkeypatch):
+    from pathlib import Path
+
+    from revlake.session import shared_dir
+
+    held = []
+
+    def counted(df, name="stage", path=None):
+        out = materialize(df, name, path)
+        held.append(len(list(Path(shared_dir(spark)).glob("revlake-*/pairs-*"))))
+        return out
+
+    materialize = topics.materialize
+    monkeypatch.setattr(topics, "materialize", counted)
+    docs = spark.createDataFrame([(i, ["a", "b", f"t{i % 3}"]) for i in range(8)], "k int, tokens array<string>")
+    before = len(list(Path(shared_dir(spark)).glob("revlake-*/pairs-*")))
+    assert topics.lda_topics(docs, ["k"], n_topics=2, top_n=3, max_iter=4).count() == 6
+    assert max(held) - before <= 2
+
+
 def test_textrank_of_nothing_and_of_many_texts(spark, monkeypatch):
     """Texts ranked together keep to themselves, wherever a group of them ends."""
     monkeypatch.setattr(keywords, "RANKED_TOKENS", 20)

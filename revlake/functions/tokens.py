@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from .coerce import NON_WS
@@ -109,13 +111,37 @@ def runs_of(items: Column, name: Callable[[Column], Column], make: Callable) ->
     return let(F.sort_array(items), grouped)
 
 
-def term_counts(tokens: Column) -> Column:
-    """``array<struct<term, n>>`` of one token list, sorted by term; linear after one sort."""
-    return runs_of(
-        tokens,
-        lambda t: t,
-        lambda ordered, at, n: F.struct(F.get(ordered, at).alias("term"), n.alias("n")),
+def coded_terms(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """List and term number of every element of an Arrow array of lists, and the terms, numbered in their order."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode(null_encoding="encode")
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy(zero_copy_only=False)] = np.arange(len(order))
+    term = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(lists)), counts), term, coded.dictionary.take(order)
+
+
+def _count_terms(lists: pa.ListArray) -> pa.ListArray:
+    at, term, terms = coded_terms(lists)
+    many = max(len(terms), 1)
+    runs, n = np.unique(at * many + term, return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(runs // many, minlength=len(lists)))])
+    counted = pa.StructArray.from_arrays(
+        [terms.take(pa.array(runs % many)).cast(pa.string()), pa.array(n, pa.int32())], ["term", "n"]
     )
+    missing = lists.is_null().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counted, mask=pa.array(missing))
+
+
+def term_counts(tokens: Column) -> Column:
+    """``array<struct<term, n>>`` of one token list, sorted by term; numpy counts the lists of a batch together."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())]))
+
+    def run(lists: pa.Array) -> pa.Array:
+        return _count_terms(lists).cast(kind) if len(lists) else pa.array([], kind)
+
+    return F.arrow_udf(run, "array<struct<term: string, n: int>>")(tokens)
 
 
 def term_positions(tokens: Column) -> Column:

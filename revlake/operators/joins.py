@@ -25,18 +25,18 @@ def fresh_reviews(fetched: DataFrame, stored: DataFrame, incremental: bool = Tru
 
 
 def split_heavy_join(
-    rows: DataFrame, dim: DataFrame, on: Sequence[str], weight: str
+    rows: DataFrame, dim: DataFrame, on: Sequence[str], weight: str, *, stored: bool = False
 ) -> DataFrame:
     """Inner join of ``rows`` with a table of unique keys that counts the rows per key.
 
     ``dim`` is a stored table, so it can be counted: a small one is broadcast. Beyond that,
     ``weight`` tells how many ``rows`` a key has. Keys above 1/HEAVY_KEYS of all rows are at
     most HEAVY_KEYS by arithmetic, so they are broadcast; what remains has no heavy key and
-    is joined by shuffle.
+    is joined by shuffle. ``stored`` says that ``rows`` are a table, too.
     """
     if dim.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(dim), list(on))
-    rows = materialize(rows, "rows")  # both parts below read them
+    rows = rows if stored else materialize(rows, "rows")  # both parts below read them
     floor = dim.agg((F.sum(weight) / HEAVY_KEYS).alias("f")).scalar()
     heavy = dim.filter(F.col(weight) > floor)
     light = dim.filter(F.col(weight) <= floor)

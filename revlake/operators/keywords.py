@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.tokens import Tokenizer, term_counts, tokenize
+from ..functions.tokens import Tokenizer, coded_terms, term_counts, tokenize
 from ..session import materialize
 from .joins import split_heavy_join
 from .ranking import top_n_per_group
@@ -29,16 +29,10 @@ RANKED_TOKENS = 1 << 17
 
 def _term_codes(tokens: pa.ListArray, stopwords: pa.Array, min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Document and term number of every token, which tokens are candidates, and the terms, numbered in their order."""
-    counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-    coded = tokens.flatten().dictionary_encode(null_encoding="encode")
-    order = pc.array_sort_indices(coded.dictionary)
-    place = np.empty(len(order), np.int64)
-    place[order.to_numpy(zero_copy_only=False)] = np.arange(len(order))
-    terms = coded.dictionary.take(order)
+    doc, term, terms = coded_terms(tokens)
     wanted = pc.and_(pc.greater_equal(pc.utf8_length(terms), min_length), pc.invert(pc.is_in(terms, value_set=stopwords)))
-    term = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
     wanted = pc.fill_null(wanted, False).to_numpy(zero_copy_only=False).astype(bool)
-    return np.repeat(np.arange(len(tokens)), counts), term, wanted[term], terms
+    return doc, term, wanted[term], terms
 
 
 def _links(doc: np.ndarray, node: np.ndarray, wanted: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,9 +146,11 @@ def doc_frequency(
     tokens: str = "tokens",
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
-    """Vocabulary ``(by..., term, df, n_docs)`` inside the document-frequency bounds."""
-    df = document_terms(docs, key, by, tokens).groupBy(*by, "term").agg(F.count("*").alias("df"))
+    """Vocabulary ``(by..., term, df, n_docs)`` inside the document-frequency bounds; ``terms`` are the document terms, if stored."""
+    terms = document_terms(docs, key, by, tokens) if terms is None else terms
+    df = terms.groupBy(*by, "term").agg(F.count("*").alias("df"))
     if by:
         sizes = docs.groupBy(*by).agg(F.count("*").alias("n_docs"))
         df = df.join(sizes, list(by))
@@ -178,16 +174,15 @@ def tfidf_keywords(
     before ranking, ties by term. ``frequencies`` is a vocabulary counted before, as
     ``DocumentFrequencies`` keeps it; without it the documents are counted here.
     """
+    terms = materialize(document_terms(docs, key, by, tokens), "rows")  # texts are cut once, for counts and weights
     if frequencies is None:
-        frequencies = doc_frequency(docs, key, by, tokens=tokens)
+        frequencies = doc_frequency(docs, key, by, tokens=tokens, terms=terms)
     idf = F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
     vocabulary = materialize(
         frequencies.select(*by, "term", "df", idf.alias("idf")),
         "vocabulary",
     )
-    weighted = split_heavy_join(
-        document_terms(docs, key, by, tokens), vocabulary, [*by, "term"], "df"
-    ).withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = split_heavy_join(terms, vocabulary, [*by, "term"], "df", stored=True).withColumn("w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy(*by, *key)
     unit = weighted.withColumn(
         "u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc))

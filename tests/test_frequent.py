@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import JD_REVIEWS, TMALL_REVIEWS, jd_body, jd_name, rows, tmall_body, tmall_name
 from revlake.operators import heavy_hitters, language_posterior
+from revlake.operators.keywords import tfidf_keywords
 from revlake.plans.reviews import TextOptions, process_reviews, run_reviews
 from revlake.schemas import RAW
 from revlake.sources.landing import read_page_archive, write_page_archive
@@ -152,3 +153,18 @@ def test_one_archive_file_is_split_over_tasks(spark, tmp_path):
         assert read.select("page").distinct().count() == read.count() == 3000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_texts_are_cut_once_for_counts_and_weights(spark):
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        cut.add(1)
+        return text.split()
+
+    texts = ["a b a", "b c", "c d d", ""]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "review_id string, text string").withColumn("tokens", words("text"))
+    best = tfidf_keywords(docs.drop("text"), ["review_id"], top_n=2)
+    assert [r.rank for r in best.orderBy("rank").collect()] == [1, 2]
+    assert cut.value == len(texts)

@@ -113,6 +113,14 @@ def test_term_counts_and_positions(spark):
     assert empty == []
 
 
+def test_term_counts_take_a_missing_token_as_a_term(spark):
+    lists = [[None, "b", None, "a", "b"], None, [], ["é", "z", "é"]]
+    counted = apply(spark, tokens.term_counts, lists, "array<string>")
+    assert [None if c is None else sorted((x.term or "", x.n) for x in c) for c in counted] == [
+        [("", 2), ("a", 1), ("b", 2)], None, [], [("z", 1), ("é", 2)],
+    ]
+
+
 def test_list_codec(spark):
     df = spark.createDataFrame([(["好", 'a"b\\'], ["k"])], "tokens array<string>, keywords array<string>")
     coded = codec.encode_lists(df)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from revlake.schemas import KEY, RAW
+from revlake.session import materialize
 from revlake.sources.tables import ReviewTables
 
 DAY = datetime(2024, 1, 1)
@@ -149,3 +150,13 @@ def test_platform_filter_prunes_folders(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(platform" in text and "EqualTo(product_id,p)" in text
     assert "text" not in text.split("ReadSchema:")[1]
+
+
+def test_tables_and_scratch_are_packed(spark, tmp_path):
+    tables = store(spark, tmp_path)
+    tables.upsert("raw_reviews", raw(spark, [("jd", f"r{i}", "p", i, 0) for i in range(50)]))
+    path = str(tmp_path / "scratch")
+    assert materialize(spark.range(9), path=path).count() == 9
+    for folder in (tmp_path / "raw_reviews", Path(path)):
+        files = list(folder.rglob("*.parquet"))
+        assert files and all(f.name.endswith(".zstd.parquet") for f in files)

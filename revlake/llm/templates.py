@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path, scratch_scope
 
 FIELD = "<*>"
 LEADING = 3  # tokens that lead down the tree
@@ -150,9 +150,16 @@ def drop_recurring_lines(docs: DataFrame, least: int = MIN_DOCUMENTS) -> DataFra
 
     A text whose lines are all dropped is empty. Null and empty texts, null ids, repeated rows and all
     other columns stay as they are; every row is returned. A line without tokens is never dropped.
+
+    Texts are always dealt out by a shuffle: the size of the packed file of dropped places, by which Spark would choose
+    a broadcast, says little about their size in memory. All other tables are removed before that.
     """
-    gone = recurring_lines(docs, least).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
-    gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "gone"), "gone")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "gone")
+    with scratch_scope(spark):
+        gone = recurring_lines(docs, least).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+        gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "gone"), path=path)
+    gone = gone.hint("shuffle_hash")
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("row_th"))
     both = left.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row_th") == F.col("gone_th")), "left")
     kept = F.filter(F.split("row.text", "\n", -1), lambda line, i: ~F.array_contains("gone", i))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from revlake.llm.components import components
 from revlake.llm.contamination import decontaminate, find_leaks, item_sketches, shingle_rows
 from revlake.llm.near_duplicates import drop_near_duplicates, near_duplicates, region_ties
 from revlake.llm.templates import drop_recurring_lines, line_report, recurring_lines
+from revlake.session import shared_dir
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -225,6 +227,17 @@ def test_recurring_templates_are_dropped_but_once(make_docs, odd_pairs):
     assert drop_recurring_lines(make_docs([])).count() == 0
 
 
+def test_line_dedup_deals_texts_out_and_leaves_one_table(spark, make_docs):
+    docs = make_docs([(k, f"own start {chr(97 + k)}\nthe line of all pages\nown end {chr(97 + k)}") for k in range(12)])
+    folder = Path(shared_dir(spark)) / f"revlake-{spark.sparkContext.applicationId}"
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    left = drop_recurring_lines(docs)
+    assert [p.name.split("-")[0] for p in folder.iterdir() if p.name not in before] == ["gone"]
+    plan = left._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {r.doc_id: r.text for r in left.collect()} == {k: t.text if k == 0 else t.text.replace("the line of all pages\n", "") for k, t in enumerate(docs.collect())}
+
+
 def test_blocks_of_boilerplate_recur_by_documents(make_docs):
     own = [f"body {'abcdefghijklmn'[k] * 9} of a page with words of its own" for k in range(14)]
     head, foot = "site news sport\nall pages of this site\nsearch in it", "about this site\nterms of use\nwrite to the editors"

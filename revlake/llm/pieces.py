@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +25,13 @@ from .words import bounded_batches
 
 SPACE = "▁"  # the visible space of the vocabulary
 #: Words remembered by a worker, and the longest one that is.
-MEMORY, MEMORY_LENGTH = 150_000, 40
+MEMORY, MEMORY_LENGTH = 400_000, 40
 #: Words are merged together up to so many symbols.
 ROUND_SYMBOLS = 1 << 19
 #: Longer words (text without spaces) would need as many rounds as they have pieces; a heap serves them.
 LONG_WORD = 3000
 NONE = np.int64(1) << 40
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -53,8 +55,11 @@ class Pieces:
             raise ValueError("the model has pieces over word borders")
         score = np.array([lib.get_score(i) for i in range(len(names))])
         rank = np.unique(-score, return_inverse=True)[1]  # equal scores are equal ranks
-        self.char = {p: i for p, i in plain.items() if len(p) == 1}
-        self.byte = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.char = np.full(0x110000, -1, np.int32)  # id by code point
+        for p, i in plain.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        self.byte = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         pairs = sorted(
             (plain[p[:k]] << 32 | plain[p[k:]], i)
             for p, i in plain.items() for k in range(1, len(p))
@@ -62,21 +67,52 @@ class Pieces:
         )
         self.pair = np.array([k for k, _ in pairs] + [NONE << 20], np.int64)
         self.result = np.array([i for _, i in pairs] + [0], np.int64)
-        self.rank = rank[self.result].astype(np.int64)
+        self.rank = np.r_[rank[self.result[:-1]].astype(np.int64), NONE]
+        self._place_pairs()
         self.bytes = [b"" if lib.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         self.bytes[lib.unk_id()] = " ⁇ ".encode()
         self.control = {i for i in range(len(names)) if lib.is_control(i)}
         self.spaced = {i for p, i in plain.items() if p.startswith(SPACE)}
-        self.value = {i: b for b, i in enumerate(self.byte)}
+        self.value = {i: b for b, i in enumerate(self.byte.tolist())}
+        whole = list(self.bytes)
+        for i, b in self.value.items():
+            whole[i] = bytes([b])
+        self.table = pa.array(whole + [b[i in self.spaced :] for i, b in enumerate(whole)], pa.binary())
+        self.is_spaced, self.is_control = np.zeros((2, len(names)), bool)
+        self.is_spaced[list(self.spaced)] = True
+        self.is_control[list(self.control)] = True
         self.words = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _place_pairs(self) -> None:
+        """A table of hashed pairs with linear probing, an eighth full at most; a free slot names the last pair, which is none."""
+        n = len(self.pair) - 1
+        bits = max(8, (8 * n).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot = np.full((1 << bits) + n, n, np.int32)
+        left, at = np.arange(n), self._hash(self.pair[:-1])
+        while len(left):
+            free = np.flatnonzero(self.slot[at] == n)
+            where, first = np.unique(at[free], return_index=True)
+            self.slot[where] = left[free[first]]
+            late = self.slot[at] != left
+            left, at = left[late], at[late] + 1
+
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _SPREAD) >> self.shift).view(np.int64)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NONE where it is no piece) and its place in the table."""
         key = left << 32 | right
-        at = np.searchsorted(self.pair, key)
-        at[at >= len(self.pair)] = len(self.pair) - 1
-        return np.where(self.pair[at] == key, self.rank[at], NONE), at
+        slot = self._hash(key)
+        at = self.slot[slot]
+        none = len(self.pair) - 1
+        look = np.flatnonzero((self.pair[at] != key) & (at != none))
+        while len(look):
+            slot[look] += 1
+            at[look] = found = self.slot[slot[look]]
+            look = look[(self.pair[found] != key[look]) & (found != none)]
+        return self.rank[at], at
 
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and word numbers (ascending) once no pair is left."""
@@ -159,52 +195,81 @@ class Pieces:
             offer(np.array([before[i], i]))
         return [i for i in symbols if i >= 0]
 
-    def learn(self, words: Sequence[str]) -> list[tuple[int, ...]]:
-        """Ids of words by merge rounds."""
-        out: list[tuple[int, ...]] = []
+    def _symbols(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all characters of words, or of their bytes where a character has none, and word numbers."""
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        flat = self.char[code]
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):
+            raw = [chr(c).encode() for c in code[odd].tolist()]
+            times = np.ones(len(flat), np.int64)
+            times[odd] = [len(b) for b in raw]
+            flat, word = np.repeat(flat, times), np.repeat(word, times)
+            flat[flat < 0] = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        return flat.astype(np.int64), word
+
+    def learn(self, words: Sequence[str]) -> list[bytes]:
+        """Ids of words by merge rounds, as bytes of 32-bit numbers."""
+        out: list[bytes] = []
         lo = 0
         while lo < len(words):
             hi, total = lo, 0
             while hi < len(words) and (hi == lo or total + len(words[hi]) <= ROUND_SYMBOLS):
                 total += len(words[hi])
                 hi += 1
-            flat: list[int] = []
-            sizes = []
+            flat, word = self._symbols(words[lo:hi])
+            size = np.bincount(word, minlength=hi - lo)
             long: dict[int, list[int]] = {}
-            for n, w in enumerate(words[lo:hi]):
-                before = len(flat)
-                for c in w:
-                    if (i := self.char.get(c)) is not None:
-                        flat.append(i)
-                    else:
-                        flat.extend(self.byte[b] for b in c.encode())
-                if len(flat) - before > LONG_WORD:
-                    long[n] = self.merge_long(flat[before:])
-                    del flat[before:]
-                sizes.append(len(flat) - before)
-            ids, word = self.merge(np.array(flat, np.int64), np.repeat(np.arange(hi - lo), sizes))
-            cut = np.cumsum(np.bincount(word, minlength=hi - lo))
-            ids = ids.tolist()
-            out += [tuple(long.get(n) or ids[a:b]) for n, (a, b) in enumerate(zip([0, *cut[:-1]], cut))]
+            if size.max() > LONG_WORD:
+                start = np.cumsum(size) - size
+                for n in np.flatnonzero(size > LONG_WORD).tolist():
+                    long[n] = self.merge_long(flat[start[n] : start[n] + size[n]].tolist())
+                short = np.repeat(size <= LONG_WORD, size)
+                flat, word = flat[short], word[short]
+            ids, word = self.merge(flat, word)
+            cut = (4 * np.cumsum(np.bincount(word, minlength=hi - lo))).tolist()
+            packed = ids.astype(np.int32).tobytes()
+            made = [packed[a:b] for a, b in zip([0, *cut[:-1]], cut)]
+            for n, own in long.items():
+                made[n] = np.array(own, np.int32).tobytes()
+            out += made
             lo = hi
         return out
 
+    def encode_arrays(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one after another, and where each text's begin; an empty text has none."""
+        split = [self.words((" " + t).replace(" ", SPACE)) if t else [] for t in texts]
+        seen = set().union(*split)
+        fresh = list(seen.difference(self.known))
+        self.known.update(zip(fresh, self.learn(fresh)))
+        ids_of = self.known.__getitem__
+        rows = [b"".join(map(ids_of, words)) for words in split]
+        if len(self.known) > MEMORY:  # the words of this batch stay
+            self.known = {w: self.known[w] for w in seen} if 2 * len(seen) <= MEMORY else {}
+        for w in fresh:
+            if len(w) > MEMORY_LENGTH:
+                self.known.pop(w, None)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        return np.frombuffer(b"".join(rows), np.int32), np.r_[0, np.cumsum(sizes)]
+
     def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
         """Ids of whole texts; an empty text has none."""
-        split = [self.words((" " + t).replace(" ", SPACE)) if t else [] for t in texts]
-        own = {w: None for ws in split for w in ws if w not in self.known}
-        fresh = dict(zip(own, self.learn(list(own))))
-        known = self.known
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += known.get(w) or fresh[w]
-            out.append(ids)
-        if len(known) + len(fresh) > MEMORY:
-            known.clear()
-        known.update((w, i) for w, i in fresh.items() if len(w) <= MEMORY_LENGTH)
-        return out
+        ids, at = self.encode_arrays(texts)
+        return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+    def decode_arrays(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """Texts of ids that lie as ``encode_arrays`` returns them."""
+        if not self.is_control[ids].any():
+            first = at[:-1][at[1:] > at[:-1]]
+            place = ids.copy()
+            place[first] += np.where(self.is_spaced[ids[first]], len(self.bytes), 0).astype(np.int32)  # without its space
+            parts = pa.ListArray.from_arrays(pa.array(at, pa.int32()), self.table.take(pa.array(place)))
+            try:  # bytes beside whole characters are characters if the text is one
+                return pc.binary_join(parts, b"").cast(pa.string())
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:])], pa.string())
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of ids: pieces joined, bytes put together, the space set in front taken away."""
@@ -268,9 +333,9 @@ def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value)
         for batch in batches:
-            ids = pieces.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-            decoded = [pieces.decode(i) for i in ids]
-            columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            ids, at = pieces.encode_arrays([t or "" for t in batch.column(1).to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+            columns = [batch.column(0), lists, pieces.decode_arrays(ids, at)]
             yield pa.record_batch(columns, [key, "ids", "decoded"])
 
     rows = docs.select(key, "text")

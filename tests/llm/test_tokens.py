@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -76,6 +77,39 @@ def test_decode_any_ids(pieces):
         assert pieces.decode(ids) == lib.decode(ids)
 
 
+def test_decode_arrays_of_any_ids(pieces):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    r = random.Random(5)
+    many = [[r.choice([r.randint(3, 258), r.randint(259, 31_999)]) for _ in range(r.randint(0, 10))] for _ in range(400)]
+    for rows in (many, [[], [], many[3]], [[1, *many[1]], [2], many[2]], lib.encode(scraps(400))):
+        ids, at = np.array(sum(rows, []), np.int32), np.cumsum([0, *map(len, rows)])
+        assert pieces.decode_arrays(ids, at).to_pylist() == [lib.decode(x) for x in rows]
+
+
+def test_arrays_of_texts_without_words(pieces):
+    for texts in ([], ["", ""], ["", "a b", ""]):
+        ids, at = pieces.encode_arrays(texts)
+        assert len(at) == len(texts) + 1 and pieces.decode_arrays(ids, at).to_pylist() == texts
+
+
+def test_words_in_use_are_not_merged_again(monkeypatch):
+    """A full memory keeps the words of the batch at hand, those it knew before among them."""
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE), Pieces(open(PIECE_BPE, "rb").read())
+    monkeypatch.setattr("revlake.llm.pieces.MEMORY", 12)
+    learnt, learn = [], own.learn
+    monkeypatch.setattr(own, "learn", lambda words: learnt.append(sorted(words)) or learn(words))
+    texts = ["common b c d e f g h i", "common j k l m", "common"]
+    assert [own.encode_batch([t])[0] for t in texts] == lib.encode(texts)
+    assert learnt[2] == [] and len(own.known) <= 12
+
+
+def test_every_pair_is_found_by_its_hash(pieces):
+    rank, at = pieces._ranks(pieces.pair[:-1] >> 32, pieces.pair[:-1] & 0xFFFFFFFF)
+    assert (at == np.arange(len(at))).all() and (rank == pieces.rank[:-1]).all()
+    left, right = np.random.default_rng(1).integers(0, 32_000, (2, 100_000))
+    assert ((pieces._ranks(left, right)[0] < 1 << 40) == np.isin(left << 32 | right, pieces.pair)).all()
+
+
 def test_encode_digests_odd_rows(make_docs, odd_pairs):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
 

@@ -417,6 +417,29 @@ def test_lda_keeps_no_earlier_round(spark, monkeypatch):
     assert max(held) - before <= 2
 
 
+def test_lda_passes_equal_joins(spark, monkeypatch):
+    """Repeated and null keys, null and empty lists, terms of one and of several documents, documents that go on in the next batch."""
+    rng = random.Random(5)
+    lists = [[f"w{int(40 * rng.random() ** 2)}" for _ in range(rng.randrange(1, 25))] + [f"only{i}"] * (i % 3) for i in range(40)]
+    data = [(f"k{i % 31}" if i % 13 else None, i % 2 if i % 7 else None, t) for i, t in enumerate(lists)]
+    docs = spark.createDataFrame([*data, ("none", 1, None), ("empty", 1, [])], "a string, b int, tokens array<string>").coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for rounds, frequent in ((0, 5), (1, 5), (4, 5), (4, 0), (4, 1 << 17)):
+            monkeypatch.setattr(topics, "FREQUENT", frequent)
+            found = []
+            for sent in (topics.SENT, 0):
+                with monkeypatch.context() as own:
+                    own.setattr(topics, "SENT", sent)
+                    if sent:  # no round joins pairs
+                        own.setattr(topics, "split_heavy_join", None)
+                    got = topics.lda_topics(docs, ["a", "b"], n_topics=3, top_n=200, max_iter=rounds).collect()
+                    found.append({(r.topic, r.term): r.weight for r in got})
+            assert len(found[0]) > 150 and found[0] == pytest.approx(found[1], abs=2e-6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_textrank_of_nothing_and_of_many_texts(spark, monkeypatch):
     """Texts ranked together keep to themselves, wherever a group of them ends."""
     monkeypatch.setattr(keywords, "RANKED_TOKENS", 20)

@@ -1,5 +1,6 @@
 import os
 import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from revlake.plans.reviews import (
     TextOptions, ingest, landing_report, load_landing, missing_pages, pending_raw, refine, run_reviews,
 )
 from revlake.schemas import ANALYZED, PROCESSED, RAW
-from revlake.session import materialize, scratch_scope
+from revlake.session import materialize, scratch_scope, shared_dir
 from revlake.sources.tables import ReviewTables
 from revlake.streaming.ingest import ingest_stream
 
@@ -118,6 +119,27 @@ def test_stream_knows_empty_pages_of_earlier_batches(spark, tmp_path, landing):
     assert stream.read("page_index").count() == 6
 
 
+@pytest.mark.parametrize("stream", [False, True])
+def test_earlier_layers_go_before_later_ones_are_stored(spark, tmp_path, landing, monkeypatch, stream):
+    shared, held, merge = Path(shared_dir(spark)), [], ReviewTables._merge
+    there = lambda: {p for kind in ("parsed", "fresh", "processed", "analyzed_reviews") for p in shared.glob(f"revlake-*/{kind}-*")}
+    before = there()
+
+    def merged(self, table, batch):
+        merge(self, table, batch)
+        if table == "analyzed_reviews":
+            held.extend(there() - before)
+
+    monkeypatch.setattr(ReviewTables, "_merge", merged)
+    root = str(tmp_path / "store")
+    if stream:
+        ingest_stream(spark, str(landing), ReviewTables(spark, root), str(tmp_path / "c"), analyze=True).awaitTermination()
+    else:
+        assert load_landing(spark, str(landing), root).count() == 5
+    assert ReviewTables(spark, root).read("analyzed_reviews").count() == 5
+    assert held == []
+
+
 def test_options_segment_with_own_words(spark):
     options = TextOptions(terms=("手机", "屏幕"))
     df = spark.createDataFrame([("这个手机的屏幕非常好abc1",)], "t string")

@@ -12,6 +12,7 @@ from revlake.plans.reviews import (
 from revlake.schemas import ANALYZED, PROCESSED, RAW
 from revlake.session import materialize, scratch_scope, shared_dir
 from revlake.sources.tables import ReviewTables
+from revlake.streaming import ingest as streaming
 from revlake.streaming.ingest import ingest_stream
 
 
@@ -140,6 +141,15 @@ def test_earlier_layers_go_before_later_ones_are_stored(spark, tmp_path, landing
     assert held == []
 
 
+def test_many_pages_are_several_batches(spark, tmp_path, landing, monkeypatch):
+    monkeypatch.setattr(streaming, "PAGE_FILES", 4)
+    stream, listing = ReviewTables(spark, str(tmp_path / "s")), [spark.conf.get(k, None) for k in streaming.LISTING]
+    ingest_stream(spark, str(landing), stream, str(tmp_path / "c"), max_pages=2).awaitTermination()
+    assert len([p for p in (tmp_path / "c" / "commits").iterdir() if p.name.isdigit()]) == 2  # of six pages
+    assert stream.read("raw_reviews").count() == 5 and stream.read("page_index").count() == 6
+    assert [spark.conf.get(k, None) for k in streaming.LISTING] == listing
+
+
 def test_options_segment_with_own_words(spark):
     options = TextOptions(terms=("手机", "屏幕"))
     df = spark.createDataFrame([("这个手机的屏幕非常好abc1",)], "t string")

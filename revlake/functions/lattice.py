@@ -14,6 +14,7 @@ that paths compare exactly; of equal paths the one with the longer first word co
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ import regex
 SPACE, HAN, RUN, MARK = range(4)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = 1 << 60
+#: Runs whose words are kept between calls, and the characters of one at most.
+KNOWN_RUNS, KNOWN_CHARS = 200_000, 40
 _HAN, _RUN = regex.compile(r"\p{Script=Han}"), regex.compile(r"[\p{L}\p{N}]")
 
 
@@ -204,27 +207,50 @@ def _with_tags(words: list[str], tags: Tags) -> list[str]:
     return out
 
 
-def cheapest(texts: list[str], trie: Trie, unknown: int, letters: bool = False, tags: Tags | None = None) -> list[list[str]]:
-    codes, starts = _codes(texts)
+def _cut_runs(runs: list[str], trie: Trie, unknown: int, letters: bool, tags: Tags | None) -> Iterator[tuple[str, list[str]]]:
+    """Runs of one kind with their words."""
+    codes, starts = _codes(runs)
     kind, run_end = _blocks(codes, starts)
     edges = _edges(codes, kind, run_end, trie, letters)
-    kind, run_end = kind.tolist(), run_end.tolist()
-    out = []
-    for text, base in zip(texts, starts.tolist()):
-        at, stop, tokens = base, base + len(text), []
-        while at < stop:
-            end = run_end[at]
-            if kind[at] == HAN or (kind[at] == RUN and letters):
-                words, i = [], at - base
-                for k in _cheapest_run(edges, at, end, unknown):
-                    words.append(text[i : i + k])
-                    i += k
-                tokens += _with_tags(words, tags) if tags else words
-            elif kind[at] == RUN:
-                tokens.append(text[at - base : end - base])
-            elif kind[at] == MARK:
-                tokens += text[at - base : end - base]
-            at = end
+    for run, base in zip(runs, starts.tolist()):
+        words, i = [], 0
+        for k in _cheapest_run(edges, base, base + len(run), unknown):
+            words.append(run[i : i + k])
+            i += k
+        yield run, _with_tags(words, tags) if tags else words
+
+
+def cheapest(
+    texts: list[str], trie: Trie, unknown: int, letters: bool = False, tags: Tags | None = None, known: dict[str, list[str]] | None = None,
+) -> list[list[str]]:
+    """The words of each text. A run is cut alike wherever it stands, so equal ones are cut once; ``known`` keeps them from call to call."""
+    codes, starts = _codes(texts)
+    kind, _ = _blocks(codes, starts)
+    first = np.ones(len(codes), bool)
+    first[1:] = kind[1:] != kind[:-1]
+    first[starts[:-1][starts[:-1] < len(codes)]] = True
+    begins = np.flatnonzero(first)
+    ends = np.append(begins[1:], len(codes)).tolist()
+    kinds, whole = kind[begins], "".join(texts)
+    parts = [whole[a:b] for a, b in zip(begins.tolist(), ends)]
+    cut = ((kinds == HAN) | ((kinds == RUN) & letters)).tolist()
+    known = {} if known is None else known
+    if len(known) > KNOWN_RUNS:
+        known.clear()
+    new = [p for p in dict.fromkeys(p for p, c in zip(parts, cut) if c) if p not in known]
+    found = dict(_cut_runs(new, trie, unknown, letters, tags))
+    known.update((run, words) for run, words in found.items() if len(run) <= KNOWN_CHARS)
+    at = np.searchsorted(begins, starts).tolist()
+    kinds, out = kinds.tolist(), []
+    for lo, hi in zip(at, at[1:]):
+        tokens = []
+        for part, k, c in zip(parts[lo:hi], kinds[lo:hi], cut[lo:hi]):
+            if c:
+                tokens += found[part] if part in found else known[part]
+            elif k == RUN:
+                tokens.append(part)
+            elif k == MARK:
+                tokens += part
         out.append(tokens)
     return out
 

@@ -63,6 +63,18 @@ def _udf(cut: Cut, trie) -> Callable[[Column], Column]:
     return F.arrow_udf(run, "array<string>")
 
 
+def _lattice_cut(unknown: int, letters: bool, tags: Tags | None) -> Cut:
+    """Most probable words; the words of short runs are kept as long as the trie is the same."""
+    held: list = [None, {}]
+
+    def cut(texts: list[str], trie: Trie) -> list[list[str]]:
+        if held[0] is not trie:
+            held[:] = [trie, {}]
+        return cheapest(texts, trie, unknown, letters, tags, held[1])
+
+    return cut
+
+
 def _row_udf(cut: Cut) -> Callable[..., Column]:
     """The same with each row's own terms."""
 
@@ -114,7 +126,7 @@ def tokenize_lattice(
     be unique.
     """
     dictionary, unknown = word_costs(counts)
-    cut = lambda texts, trie: cheapest(texts, trie, unknown, letters, tags)
+    cut = _lattice_cut(unknown, letters, tags)
     out = _cut_docs(docs, key, dictionary, cut, text, tokens, sent_chars)
     return out.withColumn(tokens, remove_stopwords(F.col(tokens), stopwords))
 
@@ -137,7 +149,7 @@ def longest_tokenizer(dictionary: DataFrame) -> Tokenizer:
 def lattice_tokenizer(counts: DataFrame, letters: bool = False, tags: Tags | None = None) -> Tokenizer:
     """Most probable words as a column function, for ``TextOptions``; the terms are sent along."""
     dictionary, unknown = word_costs(counts)
-    return _udf(lambda texts, trie: cheapest(texts, trie, unknown, letters, tags), _sent(_bounded(dictionary)))
+    return _udf(_lattice_cut(unknown, letters, tags), _sent(_bounded(dictionary)))
 
 
 def _bounded(words: DataFrame) -> DataFrame:

@@ -168,3 +168,24 @@ def test_texts_are_cut_a_few_at_a_time():
     assert out is not None
     assert out(pa.array([*long, None, long[0]])).to_pylist() == [list(t) for t in [*long, "", long[0]]]
     assert max(sizes) <= segmentation.CUT_CHARS and len(sizes) > 1
+
+
+def test_equal_runs_are_cut_once(monkeypatch):
+    """Whatever texts are cut together, or before, each gets the words it gets alone."""
+    trie = lattice.Trie.build(["ab", "abc", "cd", "汉字", "字"], [5, 7, 4, 3, 9])
+    texts = ["abcd x abcd", "abcd,汉字汉x", "", "  ", "汉字汉", "zabcd\tabcd!?", "q" * 60, "abcd " + "q" * 60]
+    cut, plain = [], lattice._cheapest_run
+    monkeypatch.setattr(lattice, "_cheapest_run", lambda edges, lo, hi, unknown: cut.append(hi - lo) or plain(edges, lo, hi, unknown))
+    for letters in (True, False):
+        alone = [lattice.cheapest([t], trie, 6, letters)[0] for t in texts]
+        cut.clear()
+        known = {}
+        assert lattice.cheapest(texts, trie, 6, letters, known=known) == alone
+        assert len(cut) == (5 if letters else 1)  # abcd, x, 汉字汉, zabcd, q...; or the run of Han characters
+        cut.clear()
+        assert lattice.cheapest(texts, trie, 6, letters, known=known) == alone
+        assert cut == ([60] if letters else [])  # a long run is not kept
+        monkeypatch.setattr(lattice, "KNOWN_RUNS", 0)
+        assert lattice.cheapest(texts, trie, 6, letters, known=known) == alone
+        monkeypatch.undo()
+        monkeypatch.setattr(lattice, "_cheapest_run", lambda edges, lo, hi, unknown: cut.append(hi - lo) or plain(edges, lo, hi, unknown))
